@@ -159,8 +159,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     several = tested.filter("maybe")
     order = F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("none"), F.col("id"), F.col("rid"))
-    groups = several.groupBy(F.col("sha").alias("text_sha256")).agg(
-        F.count("*").alias("group_size"), F.min(order).alias("first")
+    # written, so that the join below has exchanges of its own and a hot group's rows can be split
+    groups = scratch.save(
+        several.groupBy(F.col("sha").alias("text_sha256")).agg(
+            F.count("*").alias("group_size"), F.min(order).alias("first")
+        ),
+        "groups",
     )
     return single.unionByName(
         several.withColumnRenamed("sha", "text_sha256")
