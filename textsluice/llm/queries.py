@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textsluice.llm import langid, toxicity
 from textsluice.llm.bitplane import round_trip
 from textsluice.llm.bloom_dedup import exact_groups
 from textsluice.llm.common import read_table
@@ -14,6 +15,20 @@ from textsluice.llm.mixing import mix_plan
 from textsluice.llm.packing import pack
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    bucket = langid.id_bucket("doc_id", 3)
+    machine = toxicity.fit(docs, labels, bucket != 1)
+    return toxicity.toxicity(docs, machine).select("doc_id", (bucket == 1).alias("held_out"), "score", "predicted")
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    bucket = langid.id_bucket("doc_id", 4)
+    model = langid.fit(docs, bucket != 2)
+    return langid.identify(docs, model).select("doc_id", (bucket == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source"
@@ -33,6 +48,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
+    "op3_language": op3_language,
     "op4_packing": op4_packing,
     "op5_mixing": op5_mixing,
     "op6_token_files": op6_token_files,
