@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textsluice.llm.common import Scratch
-from textsluice.llm.tokens import WordEncoder, chunks, default_tokenizer
+from textsluice.llm.tokens import chunks, default_tokenizer, encoder
 
 MAGIC = b"TSBP0001"
 BLOCK = 65_536
@@ -152,7 +152,7 @@ def _write(folder: str, tokenizer: str, kind: str):
         part, writer, sink = TaskContext.get().partitionId(), None, None
         fs, top = pafs.FileSystem.from_uri(folder)
         path = f"{top}/part-{part:06d}-{uuid.uuid4().hex}.bp"
-        encoder = WordEncoder(tokenizer)
+        words = encoder(tokenizer)
         for batch in batches:
             docs = batch.column(0).to_pylist()
             for at, texts in chunks(batch.column(1)):
@@ -160,7 +160,7 @@ def _write(folder: str, tokenizer: str, kind: str):
                     fs.create_dir(top, recursive=True)
                     sink = fs.open_output_stream(path)
                     writer = PlaneWriter(sink, kind)
-                writer.add(docs[at : at + len(texts)], *encoder.encode(texts))
+                writer.add(docs[at : at + len(texts)], *words.encode(texts))
         if writer is not None:
             counts = writer.close()
             sink.close()

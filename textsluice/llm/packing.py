@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textsluice.llm.common import Scratch
-from textsluice.llm.tokens import WordEncoder, chunks, default_tokenizer
+from textsluice.llm.tokens import chunks, default_tokenizer, encoder
 
 SHIFT = 16
 
@@ -87,12 +87,12 @@ def _encode(tokenizer: str):
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, ahead, encoder = TaskContext.get().partitionId(), {}, WordEncoder(tokenizer)
-        narrow = "<u2" if encoder.tokenizer.get_vocab_size() <= 65_536 else "<u4"
+        part, ahead, words = TaskContext.get().partitionId(), {}, encoder(tokenizer)
+        narrow = "<u2" if words.tokenizer.get_vocab_size() <= 65_536 else "<u4"
         for batch in batches:
             docs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at, texts in chunks(batch.column(2)):
-                ids, lengths = encoder.encode(texts)
+                ids, lengths = words.encode(texts)
                 data, cut, before = ids.astype(narrow), np.cumsum(lengths), []
                 for s, n in zip(sources[at : at + len(texts)], lengths.tolist(), strict=True):
                     before.append(ahead.get(s, 0))

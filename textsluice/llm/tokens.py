@@ -7,6 +7,7 @@ dictionary encoding; only words not met before go through the tokenizer.
 
 from __future__ import annotations
 
+import functools
 import os
 import unicodedata
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 CHUNK_BYTES = 4_000_000
 
 
@@ -49,7 +50,7 @@ def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.A
 
 
 class WordEncoder:
-    """Encodes string arrays; null counts as empty. One per task.
+    """Encodes string arrays; null counts as empty. One per worker process.
 
     Tokenizers without word ends see texts whole. With word ends, plain words
     (letters only, in composed form) are encoded many at a time, since each gives
@@ -63,9 +64,11 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # words of the time before, until met again or dropped
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.by_word = suffix == "</w>"
         vocab = self.tokenizer.get_vocab()
+        self.marks = dict(zip(MARKS, self._each(list(MARKS)), strict=True))
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
 
@@ -90,15 +93,21 @@ class WordEncoder:
 
     def _ids(self, words: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache, plain, other, ended = self.cache, {}, [], []
+            self.older, self.cache = self.cache, {}
+        cache, older, plain, other, ended = self.cache, self.older, {}, [], []
         for w in words:
             if w in cache:
                 continue
+            if w in older:
+                cache[w] = older[w]
+                continue
             core, mark = (w[:-1], w[-1]) if w and w[-1] in MARKS else (w, "")
             if _plain(core):
-                if core not in cache:
-                    plain[core] = None
+                if core not in cache and core not in plain:
+                    if core in older:
+                        cache[core] = older[core]
+                    else:
+                        plain[core] = None
                 if mark:
                     ended.append(w)
             else:
@@ -107,10 +116,8 @@ class WordEncoder:
         for i in range(0, len(other), 10_000):
             some = other[i : i + 10_000]
             cache.update(zip(some, self._each(some), strict=True))
-        if ended:
-            marks = dict(zip(MARKS, self._each(list(MARKS)), strict=True))
-            for w in ended:
-                cache[w] = cache[w[:-1]] + marks[w[-1]]
+        for w in ended:
+            cache[w] = cache[w[:-1]] + self.marks[w[-1]]
         return [cache[w] for w in words]
 
     def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -140,3 +147,9 @@ class WordEncoder:
         inner[np.cumsum(lengths) - 1] = False
         out[inner] = ids
         return out, lengths
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """The encoder of this worker process, kept with its cache from task to task."""
+    return WordEncoder(path)
