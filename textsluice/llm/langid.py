@@ -154,13 +154,7 @@ def fit(
     return Model(languages, idf, np.concatenate(parts).T.copy(), np.array(floors))
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and rejected.
-
-    Null, empty and letterless texts are ``und`` with score 0 and rejected. All
-    columns stay; the three new ones replace any of the same name. An untrained
-    model answers ``und`` everywhere.
-    """
+def _predictor(docs: DataFrame, model: Model):
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred: string, score: double, rejected: boolean>")
@@ -171,10 +165,26 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             names=["lang_pred", "score", "rejected"],
         )
 
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    return docs.select(*(F.col(f"`{c}`") for c in rest), predict(F.col(text_col).cast("string")).alias("_lang")).select(
-        *(F.col(f"`{c}`") for c in rest), "_lang.*"
-    )
+    return predict
+
+
+def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with lang_pred, score and rejected.
+
+    Null, empty and letterless texts are ``und`` with score 0 and rejected. All
+    columns stay; the three new ones replace any of the same name. An untrained
+    model answers ``und`` everywhere.
+    """
+    rest = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    return docs.select(row, _predictor(docs, model)(F.col(text_col).cast("string")).alias("found")).select(*rest, "found.*")
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with their own columns, that the model does not reject."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    found = docs.select(row, _predictor(docs, model)(F.col(text_col).cast("string")).alias("found"))
+    return found.filter(~F.col("found.rejected")).select("row.*")
 
 
 def id_bucket(id_col: str, buckets: int) -> Column:

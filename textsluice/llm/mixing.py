@@ -10,8 +10,6 @@ of the target is filled in a seeded order of documents.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,35 +52,14 @@ def seeded_order(id_col: str, seed: str) -> Column:
     return F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string"))), 1, DIGITS)
 
 
-def mix_plan(
-    docs: DataFrame,
-    weights: tuple[int, ...] = (5, 2, 1),
-    max_epochs: int = 3,
-    seed: str = "mix",
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-) -> DataFrame:
-    """Per row: id, source, size, source_size, target, taken, repeats.
+def _cells(spine: DataFrame, weights: tuple[int, ...], max_epochs: int, scratch: Scratch) -> DataFrame:
+    """Per source: its size, target, whole repetitions, the words still wanted, and the digits of the
+    document at which these are reached with the words before it.
 
-    ``taken`` is size times ``repeats``. A source's ``taken`` differs from its
-    target by half of one document at most: in seeded order, a document gets one
-    more repetition if its middle lies before the fractional part of the target.
-    Where that point lies is found by digits, so that no task ever sorts a whole
-    source: words are summed by source and leading digits, and only the cell that
-    holds the point is looked at more closely. Null text has size 0; rows that
-    share an id fall together and are taken in one order; no rows give none.
+    Found by digits, so that no task ever sorts a whole source: words are summed by
+    source and leading digits, and only the cell that holds the point is looked at
+    more closely.
     """
-    scratch = Scratch(docs.sparkSession, "mix")
-    spine = scratch.save(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).alias("source"),
-            word_count(text_col).alias("size"),
-            seeded_order(id_col, seed).alias("key"),
-        ),
-        "spine",
-    )
     totals = spine.groupBy("source").agg(F.sum("size").alias("source_size"))
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = scratch.save(
@@ -91,7 +68,6 @@ def mix_plan(
         .withColumn("want", F.col("target") - F.col("whole") * F.col("source_size")),
         "plan",
     )
-    # the cell of each source that holds the point `want`: digits fixed so far, and the words before it
     cell = plan.select("source", "want", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("before"))
     for depth in range(STEP, DIGITS + 1, STEP):
         inside = spine.join(
@@ -109,28 +85,80 @@ def mix_plan(
             .select("source", "want", F.col("c.next").alias("prefix"), (F.col("c.upto") - F.col("c.words")).alias("before")),
             f"cell{depth}",
         )
-    placed = spine.join(
-        plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))
-    ).drop("s")
-    placed = placed.join(
-        cell.select(F.col("source").alias("s"), "prefix", "before"), F.col("source").eqNullSafe(F.col("s")), "left"
-    ).drop("s")
-    ahead = F.col("key") < F.col("prefix")
-    at_point = F.col("key") == F.col("prefix")
-    ties = Window.partitionBy("source", "prefix").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    decided = placed.filter(~F.coalesce(at_point, F.lit(False))).withColumn(
-        "extra", F.when(F.col("want") > 0, F.coalesce(ahead, F.lit(False))).otherwise(False)
+    return scratch.save(
+        plan.join(
+            cell.select(F.col("source").alias("s"), "prefix", "before"), F.col("source").eqNullSafe(F.col("s")), "left"
+        ).drop("s", "weight"),
+        "cells",
     )
+
+
+def _repeats(rows: DataFrame, cells: DataFrame, max_epochs: int) -> DataFrame:
+    """``rows`` (id, source, size, key, ...) with their source's cell and repeats."""
+    placed = rows.join(cells.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    at_point = F.coalesce(F.col("key") == F.col("prefix"), F.lit(False))
+    ties = Window.partitionBy("source", "prefix").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    decided = placed.filter(~at_point).withColumn("extra", (F.col("want") > 0) & F.coalesce(F.col("key") < F.col("prefix"), F.lit(False)))
     point = placed.filter(at_point).withColumn(
-        "extra", F.col("before") + F.sum("size").over(ties) - F.col("size") / 2 <= F.col("want")
+        "extra", (F.col("want") > 0) & (F.col("before") + F.sum("size").over(ties) - F.col("size") / 2 <= F.col("want"))
     )
     repeats = F.col("whole") + F.when(F.col("extra") & (F.col("whole") < max_epochs), 1).otherwise(0)
-    return reduce(DataFrame.unionByName, [decided, point]).select(
+    return decided.unionByName(point).withColumn("repeats", repeats)
+
+
+def _spine(docs: DataFrame, seed: str, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    return docs.select(
+        F.col(id_col).alias("id"),
+        F.col(source_col).alias("source"),
+        word_count(text_col).alias("size"),
+        seeded_order(id_col, seed).alias("key"),
+        *more,
+    )
+
+
+def mix_plan(
+    docs: DataFrame,
+    weights: tuple[int, ...] = (5, 2, 1),
+    max_epochs: int = 3,
+    seed: str = "mix",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """Per row: id, source, size, source_size, target, taken, repeats.
+
+    ``taken`` is size times ``repeats``. A source's ``taken`` differs from its
+    target by half of one document at most: in seeded order, a document gets one
+    more repetition if its middle lies before the fractional part of the target.
+    Null text has size 0; rows that share an id fall together and are taken in one
+    order; no rows give none.
+    """
+    scratch = Scratch(docs.sparkSession, "mix")
+    spine = scratch.save(_spine(docs, seed, id_col, text_col, source_col), "spine")
+    cells = _cells(spine, weights, max_epochs, scratch)
+    return _repeats(spine, cells, max_epochs).select(
         F.col("id").alias(id_col),
         F.col("source").alias(source_col),
         "size",
         "source_size",
         "target",
-        (F.col("size") * repeats).cast("long").alias("taken"),
-        repeats.cast("long").alias("repeats"),
+        (F.col("size") * F.col("repeats")).cast("long").alias("taken"),
+        F.col("repeats").cast("long").alias("repeats"),
     )
+
+
+def mix(
+    docs: DataFrame,
+    weights: tuple[int, ...] = (5, 2, 1),
+    max_epochs: int = 3,
+    seed: str = "mix",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """``docs`` with each row as often as :func:`mix_plan` takes it; all columns stay, texts are not shuffled."""
+    scratch = Scratch(docs.sparkSession, "mix")
+    cells = _cells(scratch.save(_spine(docs, seed, id_col, text_col, source_col), "spine"), weights, max_epochs, scratch)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    taken = _repeats(_spine(docs, seed, id_col, text_col, source_col, row), cells, max_epochs).filter("repeats > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats").cast("long"))).alias("turn")).select("row.*")

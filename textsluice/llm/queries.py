@@ -11,6 +11,7 @@ from textsluice.llm import langid, toxicity
 from textsluice.llm.bitplane import round_trip
 from textsluice.llm.bloom_dedup import exact_groups
 from textsluice.llm.common import read_table
+from textsluice.llm.jaccard_join import near_groups
 from textsluice.llm.mixing import mix_plan
 from textsluice.llm.mtree import quantised, top_k
 from textsluice.llm.packing import pack
@@ -92,6 +93,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_pii(docs, key="textsluice")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(read_table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_token_files": op6_token_files,
     "op7_url_filter": op7_url_filter,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_pii": op10_pii,
 }

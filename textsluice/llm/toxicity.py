@@ -206,6 +206,7 @@ def toxicity(docs: DataFrame, machine: Machine, threshold: float = 0.7, text_col
             out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
         return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
-    rest = [c for c in docs.columns if c not in ("score", "predicted")]
-    scored = docs.select(*(F.col(f"`{c}`") for c in rest), score(F.col(text_col).cast("string")).alias("score"))
+    rest = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("score", "predicted")]
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    scored = docs.select(row, score(F.col(text_col).cast("string")).alias("score")).select(*rest, "score")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
