@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,11 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def free(self) -> None:
+        """Lets the driver notice that shuffles of tables saved before are out of use, so that their files go."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: str) -> None:
         for table in tables:
             self._remove(f"{self.path}/{table}")

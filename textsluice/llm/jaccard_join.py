@@ -36,8 +36,10 @@ from textsluice.llm.components import components
 from textsluice.llm.tokens import chunks
 
 WORDS = 5
-#: Document frequencies from which pairs and triples are indexed, and how many frequent shingles are broadcast at most.
-PAIRS_FROM, TRIPLES_FROM, FREQUENT = 32, 2048, 2_000_000
+#: Document frequencies from which shingles are put in order, and from which pairs and triples are indexed.
+ORDER_FROM, PAIRS_FROM, TRIPLES_FROM = 3, 32, 2048
+#: How many shingles with their frequencies are broadcast at most (12 bytes each).
+FREQUENT = 4_000_000
 #: Sets smaller than this are indexed by single shingles only.
 SMALL = 64
 FLUSH = 4_000_000
@@ -129,14 +131,15 @@ def _frequent(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     all_prints, all_n = all_prints[order], all_n[order]
     first = np.flatnonzero(np.concatenate([[True], all_prints[1:] != all_prints[:-1]]))
     df = np.add.reduceat(all_n.astype(np.int64), first)
-    keep = df >= PAIRS_FROM
+    keep = df >= ORDER_FROM
     yield pa.RecordBatch.from_arrays([pa.array(all_prints[first][keep].astype(np.int64)), pa.array(df[keep])], names=["print", "df"])
 
 
 def frequent_shingles(docs: DataFrame, text_col: str, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
-    """Prints and document frequencies of frequent shingles, counted over all texts.
+    """Prints and document frequencies of shingles, counted over all texts, from ORDER_FROM on.
 
-    At most FREQUENT, about: where more shingles reach PAIRS_FROM, the bound rises.
+    At most FREQUENT, about: where more shingles reach ORDER_FROM, the bound rises. Any
+    bound gives the same links, a lower one shorter lists.
     """
     rows = docs.count()
     bits = min(20, max(6, (rows // 2048).bit_length()))
@@ -147,12 +150,12 @@ def frequent_shingles(docs: DataFrame, text_col: str, scratch: Scratch) -> tuple
         .applyInArrow(_frequent, "print long, df long"),
         "frequent",
     )
-    total, least = found.count(), PAIRS_FROM
+    total, least = found.count(), ORDER_FROM
     if total > FREQUENT:
         least = int(found.approxQuantile("df", [1 - FREQUENT / total], 0.001)[0]) + 1
     got = found.filter(F.col("df") >= least).toPandas()
     order = np.argsort(got["print"].to_numpy())
-    return got["print"].to_numpy().astype(np.uint64)[order], got["df"].to_numpy().astype(np.int64)[order]
+    return got["print"].to_numpy().astype(np.uint64)[order], got["df"].to_numpy().astype(np.int32)[order]
 
 
 def may_differ(n: int, percent: int) -> int:
@@ -182,23 +185,24 @@ def signatures(s: np.ndarray, prints: np.ndarray, df: np.ndarray, percent: int)
     rest, out = need - len(rare), [rare]
     least = -(-percent * len(s) // 100)
     for b in {size_bucket(len(s)), size_bucket(least)}:
-        tag = np.uint64(b + 1) * _ODD[4]
-        if 4**b < SMALL:
-            out.append(_mix(freq[:rest] + tag))
-            continue
+        tag = np.array([b + 1], np.uint64) * _ODD[4]
+        small = 4**b < SMALL
         deal = _mix(freq ^ _ODD[3])
-        pair_class = (deal % np.uint64(int(0.3 * 4**b))).tolist()
-        triple_class = (deal % np.uint64(int(0.2 * 4**b))).tolist()
+        pair_class, triple_class = ([] if small else (deal % np.uint64(int(x * 4**b))).tolist() for x in (0.3, 0.2))
         groups: dict[tuple[int, int], list[int]] = {}
-        left = rest
+        singles, tagged, left = [], [], rest
         for i, c in enumerate(count.tolist()):
-            k = 3 if c >= TRIPLES_FROM else 2
-            group = groups.setdefault((k, triple_class[i] if k == 3 else pair_class[i]), [])
-            group.append(i)
-            if len(group) >= k:
+            if c < PAIRS_FROM or small:
+                (singles if c < PAIRS_FROM else tagged).append(i)
                 left -= 1
-                if not left:
-                    break
+            else:
+                k = 3 if c >= TRIPLES_FROM else 2
+                group = groups.setdefault((k, triple_class[i] if k == 3 else pair_class[i]), [])
+                group.append(i)
+                left -= len(group) >= k
+            if not left:
+                break
+        out += [freq[singles], _mix(freq[tagged] + tag)] if len(freq) else []
         for k in (2, 3):
             chosen = [c for (kk, _), g in groups.items() if kk == k for c in combinations(g, k)]
             if chosen:
@@ -220,13 +224,14 @@ def _spine(held, percent: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(part)),
+                        batch.column(2).slice(at, len(part)),
                         pa.array(np.arange(rid, rid + len(part))),
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.array(both[:, 0]),
                         pa.array(both[:, 1]),
                         pa.array([signatures(s, prints, df, percent).tobytes() if len(s) else b"" for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "rid", "n", "hi", "lo", "sigs"],
+                    names=["doc_id", "print", "rid", "n", "hi", "lo", "sigs"],
                 )
                 rid += len(part)
 
@@ -251,47 +256,42 @@ def _close(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(n, m).astype(np.int64) >= percent * np.maximum(n, m).astype(np.int64)
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of signatures that two nodes or more have, each with its list's first node. Rows come in
-    order of signature; what goes from batch to batch is one row and a first node."""
-    held = np.zeros((0, 3), np.int64)
-    head: tuple[int, int, int, bool] | None = None  # signature, first node, its size, whether it is already out
+def _lists(percent: int):
+    """Rows of signatures that two nodes or more of near sizes have, each with the node it is first
+    compared to. Rows come in order of (signature, size); a row counts if its neighbour in that order is near
+    enough. The head of a stretch is its smallest node; a size beyond its reach begins a new one. What goes
+    from batch to batch is one row and a head."""
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 3), np.int64)
+        linked = False  # whether the held row is near to the one before it
+        head = (0, 0, 0)  # signature, node, size
+
+        def heads(rows: np.ndarray) -> pa.RecordBatch:
+            nonlocal head
+            sig, node, size = head
+            first = []
+            for s, x, n in zip(*rows.T.tolist(), strict=True):
+                if s != sig or 100 * size < percent * n:
+                    sig, node, size = s, x, n
+                first.append(node)
+            head = (sig, node, size)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (*rows.T, np.array(first, np.int64))], names=["sig", "node", "n", "first"])
 
-    def emit(rows: np.ndarray, last: bool) -> tuple[pa.RecordBatch | None, np.ndarray]:
-        nonlocal head
-        sig = rows[:, 0]
-        if not last:  # the last row is kept back until its successor is known
-            rows, back = rows[:-1], rows[-1:]
-            after = sig[1:] == sig[:-1]
-        else:
-            back = rows[:0]
-            after = np.append(sig[1:] == sig[:-1], False)
-        if not len(rows):
-            return None, back
-        sig = rows[:, 0]
-        new = np.append(True, sig[1:] != sig[:-1])
-        if head is not None and head[0] == sig[0]:
-            new[0] = False
-        start = np.maximum.accumulate(np.where(new, np.arange(len(rows)), -1))
-        first, size = np.where(start >= 0, rows[start, 1], head[1] if head else 0), np.where(start >= 0, rows[start, 2], head[2] if head else 0)
-        keep = after | ~new
-        k = len(rows) - 1
-        head = (int(sig[k]), int(first[k]), int(size[k]), True)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(x[keep]) for x in (sig, rows[:, 1], rows[:, 2], first, size)], names=["sig", "node", "n", "first", "first_n"]
-        ), back
+        for batch in batches:
+            rows = np.concatenate([held, np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], axis=1)])
+            if len(rows) < 2:
+                held = rows
+                continue
+            near = (rows[1:, 0] == rows[:-1, 0]) & _close(rows[1:, 2], rows[:-1, 2], percent)
+            keep = near | np.concatenate([[linked], near[:-1]])
+            if keep.any():
+                yield heads(rows[:-1][keep])
+            held, linked = rows[-1:], bool(near[-1])
+        if linked:
+            yield heads(held)
 
-    for batch in batches:
-        new_rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], axis=1)
-        rows = np.concatenate([held, new_rows])
-        if len(rows):
-            out, held = emit(rows, False)
-            if out is not None and out.num_rows:
-                yield out
-    if len(held):
-        out, _ = emit(held, True)
-        if out is not None and out.num_rows:
-            yield out
+    return lists
 
 
 def _pairs(every: bool, percent: int):
@@ -334,56 +334,44 @@ def _pairs(every: bool, percent: int):
     return pairs
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, set of the rows whose text still has the set that the node stands for."""
-    for batch in batches:
-        for at, part in chunks(batch.column("text")):
-            own = batch.slice(at, len(part))
-            rows = []
-            for node, hi, lo, s in zip(own.column("node").to_pylist(), own.column("hi").to_pylist(), own.column("lo").to_pylist(), shingle_sets(part), strict=True):
-                data = s.tobytes()
-                if tuple(np.frombuffer(xxhash.xxh3_128_digest(data), "<i8").tolist()) == (hi, lo):
-                    rows.append((node, data))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "set"]
-            )
-
-
 def _verify(percent: int):
-    """Links among rows in order of (a, part, role): a row of a's own set, then its partners' sets."""
+    """Links among rows in order of (a, part, role): a row of a's own text, then its partners' texts."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, own = None, np.zeros(0, np.uint64)
         for batch in batches:
             out = []
-            for x, role, b, data in zip(*(batch.column(c).to_pylist() for c in ("a", "role", "b", "set")), strict=True):
-                s = np.frombuffer(data, "<u8")
-                if role == 0:
-                    a, own = x, s
-                    continue
-                assert a == x
-                small, big = (s, own) if len(s) < len(own) else (own, s)
-                at = np.minimum(np.searchsorted(big, small), len(big) - 1)
-                both = int((big[at] == small).sum())
-                if 100 * both >= percent * (len(s) + len(own) - both):
-                    out.append((a, b))
+            for at, part in chunks(batch.column("text")):
+                rows = batch.slice(at, len(part))
+                for x, role, b, s in zip(*(rows.column(c).to_pylist() for c in ("a", "role", "b")), shingle_sets(part), strict=True):
+                    if role == 0:
+                        a, own = x, s
+                        continue
+                    assert a == x
+                    small, big = (s, own) if len(s) < len(own) else (own, s)
+                    found = np.minimum(np.searchsorted(big, small), len(big) - 1)
+                    both = int((big[found] == small).sum())
+                    if 100 * both >= percent * (len(s) + len(own) - both):
+                        out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return verify
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) that link. A node with many partners is dealt into parts of about 200 of them."""
     many = pairs.groupBy("a").agg(F.count("*").alias("partners"))
     dealt = scratch.save(
         pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("partners") / 200)).cast("int").alias("part")), f"{name}-pairs"
     )
-    partners = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "part", F.lit(1).alias("role"), "b", "set")
-    owners = dealt.select("a", "part").distinct().join(sets.withColumnRenamed("node", "a"), "a")
-    rows = owners.select("a", "part", F.lit(0).alias("role"), F.col("a").alias("b"), "set").unionByName(partners)
-    return scratch.save(
+    partners = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "part", F.lit(1).alias("role"), "b", "text")
+    owners = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("node", "a"), "a")
+    rows = owners.select("a", "part", F.lit(0).alias("role"), F.col("a").alias("b"), "text").unionByName(partners)
+    links = scratch.save(
         rows.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(_verify(percent), "a long, b long"), f"{name}-links"
     )
+    scratch.free()
+    return links
 
 
 def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -397,34 +385,36 @@ def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     held = spark.sparkContext.broadcast(frequent_shingles(docs, text_col, scratch))  # at most FREQUENT of them
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    spine = scratch.save(rows.mapInArrow(_spine(held, percent), "doc_id long, rid long, n int, hi long, lo long, sigs binary"), "spine")
+    scratch.free()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("print"))
+    spine = scratch.save(
+        rows.mapInArrow(_spine(held, percent), "doc_id long, print long, rid long, n int, hi long, lo long, sigs binary"), "spine"
+    )
     some = spine.filter("n > 0")
+    first = F.min(F.struct("rid", "doc_id", "print")).alias("f")
     nodes = scratch.save(
-        some.groupBy("hi", "lo").agg(F.min("rid").alias("node"), F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "nodes"
+        some.groupBy("hi", "lo").agg(first, F.min("doc_id").alias("least"), F.min("n").alias("n")).select(
+            "hi", "lo", F.col("f.rid").alias("node"), F.col("f.doc_id").alias("doc_id"), F.col("f.print").alias("print"), "least", "n"
+        ),
+        "nodes",
     )
     lists = scratch.save(
         some.join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi")
         .select(F.col("rid").alias("node"), "n", "sigs")
         .mapInArrow(_explode, "sig long, node long, n int")
         .repartition("sig")
-        .sortWithinPartitions("sig", "node")
-        .mapInArrow(_lists, "sig long, node long, n long, first long, first_n long"),
+        .sortWithinPartitions("sig", "n", "node")
+        .mapInArrow(_lists(percent), "sig long, node long, n long, first long"),
         "lists",
     )
-    least, most = F.least("n", "first_n"), F.greatest("n", "first_n")
-    stars = scratch.save(
-        lists.filter((F.col("node") != F.col("first")) & (100 * least >= percent * most))
-        .select(F.col("first").alias("a"), F.col("node").alias("b"))
-        .distinct(),
-        "stars",
-    )
-    wanted = nodes.join(lists.select("node").distinct(), "node").select("node", "hi", "lo", F.col("doc_id").alias("d"))
-    sets = scratch.save(
-        rows.join(wanted, F.col("doc_id") == F.col("d")).select("node", "hi", "lo", "text").mapInArrow(_sets, "node long, set binary").dropDuplicates(["node"]),
-        "sets",
+    scratch.free()
+    stars = scratch.save(lists.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    wanted = nodes.join(lists.select("node").distinct(), "node").select("node", F.col("doc_id").alias("d"), F.col("print").alias("p"))
+    texts = scratch.save(
+        rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p"))).select("node", "text"), "texts"
     )
-    links = _links(stars, sets, percent, scratch, "star")
+    scratch.free()
+    links = _links(stars, texts, percent, scratch, "star")
     for name, every in (("chain", False), ("rest", True)):
         roots = scratch.save(components(links, scratch, f"{name}-cc"), f"{name}-roots")
         placed = lists.select("sig", "node", "n").join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"))
@@ -437,12 +427,12 @@ def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
             .distinct(),
             f"{name}-found",
         )
-        links = scratch.save(links.unionByName(_links(pairs, sets, percent, scratch, name)), f"{name}-all")
+        links = scratch.save(links.unionByName(_links(pairs, texts, percent, scratch, name)), f"{name}-all")
     roots = components(links, scratch, "last-cc")
     placed = scratch.save(
-        nodes.join(roots, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("root"), "doc_id"), "placed"
+        nodes.join(roots, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("root"), "least"), "placed"
     )
-    names = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = scratch.save(placed.join(names, "root").select("hi", "lo", "component_id"), "named")
     alone = spine.filter("n = 0").select(F.col("doc_id").alias(id_col), F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return (
