@@ -35,11 +35,13 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
+        self.tables: set[str] = set()
         self.path = f"{shared_root(spark)}/textsluice/{name}-{uuid.uuid4().hex}"
         atexit.register(self._remove, self.path)
 
     def save(self, df: DataFrame, table: str) -> DataFrame:
         path = f"{self.path}/{table}"
+        self.tables.add(table)
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -50,8 +52,13 @@ class Scratch:
 
     def drop(self, *tables: str) -> None:
         for table in tables:
+            self.tables.discard(table)
             self._remove(f"{self.path}/{table}")
 
+    def keep(self, *tables: str) -> None:
+        """Drops all tables but these, once no frame in use reads the others."""
+        self.drop(*(self.tables - set(tables)))
+
     def _remove(self, path: str) -> None:
         jvm, jsc = self.spark._jvm, self.spark.sparkContext._jsc
         if jvm is None or jsc is None:  # the session has ended

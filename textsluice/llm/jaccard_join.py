@@ -435,11 +435,14 @@ def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = scratch.save(placed.join(names, "root").select("hi", "lo", "component_id"), "named")
     alone = spine.filter("n = 0").select(F.col("doc_id").alias(id_col), F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return (
+    result = scratch.save(
         some.join(named, ["hi", "lo"])
         .select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
-        .unionByName(alone)
+        .unionByName(alone),
+        "result",
     )
+    scratch.keep("result")
+    return result
 
 
 def near_dedup(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
