@@ -39,7 +39,7 @@ WORDS = 5
 #: Document frequencies from which shingles are put in order, and from which pairs and triples are indexed.
 ORDER_FROM, PAIRS_FROM, TRIPLES_FROM = 3, 32, 2048
 #: How many shingles with their frequencies are broadcast at most (12 bytes each).
-FREQUENT = 4_000_000
+FREQUENT = 2_000_000
 #: Sets smaller than this are indexed by single shingles only.
 SMALL = 64
 FLUSH = 4_000_000
@@ -135,6 +135,12 @@ def _frequent(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     yield pa.RecordBatch.from_arrays([pa.array(all_prints[first][keep].astype(np.int64)), pa.array(df[keep])], names=["print", "df"])
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = (batch.column(k).to_numpy().astype(t).tobytes() for k, t in enumerate(("<u8", "<i4")))
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in rows], names=["prints", "df"])
+
+
 def frequent_shingles(docs: DataFrame, text_col: str, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """Prints and document frequencies of shingles, counted over all texts, from ORDER_FROM on.
 
@@ -153,9 +159,11 @@ def frequent_shingles(docs: DataFrame, text_col: str, scratch: Scratch) -> tuple
     total, least = found.count(), ORDER_FROM
     if total > FREQUENT:
         least = int(found.approxQuantile("df", [1 - FREQUENT / total], 0.001)[0]) + 1
-    got = found.filter(F.col("df") >= least).toPandas()
-    order = np.argsort(got["print"].to_numpy())
-    return got["print"].to_numpy().astype(np.uint64)[order], got["df"].to_numpy().astype(np.int32)[order]
+    got = found.filter(F.col("df") >= least).mapInArrow(_pack, "prints binary, df binary").collect()  # a row a batch
+    prints = np.frombuffer(b"".join(r.prints for r in got), "<u8")
+    df = np.frombuffer(b"".join(r.df for r in got), "<i4")
+    order = np.argsort(prints)
+    return prints[order], df[order]
 
 
 def may_differ(n: int, percent: int) -> int:
