@@ -7,6 +7,8 @@ without an empty line after the last ``\\n``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,23 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often and in whatever lambda body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def with_previous(values: Column) -> Column:
+    """Array of (x, before): each element and the one before it, null for the first."""
+    return let(
+        values,
+        lambda v: F.zip_with(
+            v,
+            F.concat(F.array(F.lit(None)), F.slice(v, F.lit(1), F.greatest(F.size(v) - 1, F.lit(0)))),
+            lambda x, y: F.struct(x.alias("x"), y.alias("before")),
+        ),
+    )
+
+
 def lines(text: Column | str) -> Column:
     """Array of lines; empty for null and empty text."""
     t = _c(text)
@@ -102,7 +121,11 @@ def compact_path(path: Column | str, most: int = 50) -> Column:
 
 def common_prefix_dir(paths: Column) -> Column:
     """The folder that all paths of an array share, with its closing slash; empty where none."""
-    low, high = F.array_min(paths), F.array_max(paths)
+    return let(F.struct(F.array_min(paths).alias("low"), F.array_max(paths).alias("high")), _shared_dir)
+
+
+def _shared_dir(ends: Column) -> Column:
+    low, high = ends["low"], ends["high"]
     n = F.aggregate(
         F.sequence(F.lit(1), F.greatest(F.char_length(low), F.lit(1))),
         F.lit(0),
@@ -181,15 +204,16 @@ def noise_key(line: Column | str) -> Column:
     return F.regexp_replace(F.lower(trim(line)), r"[=>\-<|\[\] ]{4,}", "[progress]")
 
 
-def command_key(raw: Column | str) -> Column:
-    """A command for display: without environment assignments, wrapper and folder; else ``(pipeline)``."""
+def command_key(raw: Column | str, wrappers: tuple[str, ...] = ()) -> Column:
+    """A command for display: without environment assignments, ``wrappers`` and folder; else ``(pipeline)``."""
     c = _c(raw)
     tokens = F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda t: t != "")
     bare = F.regexp_replace(F.array_join(tokens, " "), r"^(?:[A-Z_]+=\S*(?: |$))+", "")
-    bare = F.regexp_replace(bare, r"^rtk ", "")
+    for name in wrappers:
+        bare = F.regexp_replace(bare, rf"^{name} ", "")
     first, rest = F.regexp_extract(bare, r"^(\S*)", 1), F.regexp_extract(bare, r"^\S*(.*)$", 1)
     return (
-        F.when(c.isNull() | c.isin("(read)", "(glob)", "rtk", "panda") | (bare == ""), "(pipeline)")
+        F.when(c.isNull() | c.isin("(read)", "(glob)", *wrappers) | (bare == ""), "(pipeline)")
         .otherwise(F.concat(basename(first), rest))
     )
 
@@ -223,8 +247,8 @@ def format_age(seconds: Column | str) -> Column:
 
 
 def utc_day(seconds: Column | str) -> Column:
-    """YYYY-MM-DD of unix seconds."""
-    return F.date_format(F.timestamp_seconds(_c(seconds)), "yyyy-MM-dd")
+    """YYYY-MM-DD of unix seconds, whatever the session's time zone."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(_c(seconds) / 86_400).cast("int")).cast("string")
 
 
 def clean_intent(text: Column | str, most: int) -> Column:
@@ -296,19 +320,22 @@ def path_tokens(path: Column | str) -> Column:
 def lexical_score(tokens: Column, signatures: Column, paths: Column) -> Column:
     """Share of query tokens met in signatures (1), paths (0.8) and as beginnings (0.3), at most 1."""
 
-    def one(t: Column) -> Column:
-        begins = F.exists(signatures, lambda s: s.startswith(t)) | F.exists(paths, lambda s: s.startswith(t))
+    def one(t: Column, known: Column) -> Column:
+        sigs, parts = known["s"], known["p"]
+        begins = F.exists(sigs, lambda s: s.startswith(t)) | F.exists(parts, lambda s: s.startswith(t))
         return (
-            F.when(F.array_contains(signatures, t), 1.0).otherwise(0.0)
-            + F.when(F.array_contains(paths, t), 0.8).otherwise(0.0)
+            F.when(F.array_contains(sigs, t), 1.0).otherwise(0.0)
+            + F.when(F.array_contains(parts, t), 0.8).otherwise(0.0)
             + F.when((F.octet_length(t) >= 4) & begins, 0.3).otherwise(0.0)
         )
 
-    total = F.aggregate(tokens, F.lit(0.0), lambda s, t: s + one(t))
+    total = let(
+        F.struct(signatures.alias("s"), paths.alias("p")),
+        lambda known: F.aggregate(tokens, F.lit(0.0), lambda s, t: s + one(t, known)),
+    )
     return F.when(F.size(tokens) == 0, 0.0).otherwise(F.least(F.lit(1.0), total / (F.size(tokens) * 2.1)))
 
 
 def has_key_fact(answer: Column | str, facts: Column | str) -> Column:
     """Whether any fact occurs in the answer, in any case."""
-    low = F.lower(_c(answer))
-    return F.exists(_c(facts), lambda f: low.contains(F.lower(f)))
+    return let(F.lower(_c(answer)), lambda low: F.exists(_c(facts), lambda f: low.contains(F.lower(f))))

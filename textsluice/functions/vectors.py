@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textsluice.functions.text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product over the shorter of the two lengths."""
@@ -26,8 +28,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalize(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n <= 1e-9, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x.cast("double") / n))
+    return let(
+        norm(a), lambda n: F.when(n <= 1e-9, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x.cast("double") / n))
+    )
 
 
 def blend(a: Column, wa: float, b: Column, wb: float) -> Column:

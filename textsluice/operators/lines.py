@@ -12,8 +12,14 @@ from pyspark.sql import functions as F
 
 from textsluice.functions import text as T
 
-BY_DOC = Window.partitionBy("doc_id").orderBy("line_no")
-WHOLE = Window.partitionBy("doc_id")
+
+def by_doc():
+    return Window.partitionBy("doc_id").orderBy("line_no")
+
+
+def whole():
+    return Window.partitionBy("doc_id")
+
 
 #: Noise predicates on trimmed lines. Fixed values.
 BAR = r"^\s*(?:[\[(]\s*[=\-#*>▓░▒]{3,}[\s=\-#*>▓░▒]*[\])]|[=\-#*>]{8,})\s*\d{0,3}\.?\d*\s*%?\s*$"
@@ -44,14 +50,14 @@ def trim_right(lines: DataFrame) -> DataFrame:
 def dedup_consecutive(lines: DataFrame) -> DataFrame:
     """Drops lines equal to the one before; a line kept equals the last kept one exactly where its
     direct predecessor does, so one lag is enough."""
-    before = F.lag("line").over(BY_DOC)
+    before = F.lag("line").over(by_doc())
     return lines.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col("_before") != F.col("line"))).drop("_before")
 
 
 def collapse_blanks(lines: DataFrame) -> DataFrame:
     """Keeps the first line of each run of blank ones."""
     blank = T.is_blank("line")
-    before = F.lag(blank.cast("int"), 1, 0).over(BY_DOC)
+    before = F.lag(blank.cast("int"), 1, 0).over(by_doc())
     return lines.withColumn("_before", before).filter(~(blank & (F.col("_before") == 1))).drop("_before")
 
 
@@ -81,7 +87,7 @@ def drop_global_noise(lines: DataFrame) -> DataFrame:
 
 def head_tail(lines: DataFrame, head: int = 30, tail: int = 30) -> DataFrame:
     """First and last lines of longer documents with ``[--- k more lines ---]`` between them."""
-    n, at = F.count("*").over(WHOLE), F.row_number().over(BY_DOC)
+    n, at = F.count("*").over(whole()), F.row_number().over(by_doc())
     placed = lines.withColumn("_n", n).withColumn("_at", at)
     long = F.col("_n") > head + tail
     kept = placed.filter(~long | (F.col("_at") <= head) | (F.col("_at") > F.col("_n") - tail) | (F.col("_at") == head + 1))
@@ -111,8 +117,8 @@ def removal_gate(before: Column, after: Column, most: float = 0.80) -> Column:
 
 def similar_runs(lines: DataFrame, key: Column, show: int = 3) -> DataFrame:
     """Runs of lines with equal keys: the first ``show`` and a count of the rest (run_no, place, omitted)."""
-    changed = F.coalesce((key != F.lag(key).over(BY_DOC)).cast("int"), F.lit(1))
-    runs = lines.withColumn("_new", changed).withColumn("run_no", F.sum("_new").over(BY_DOC.rowsBetween(Window.unboundedPreceding, 0)))
+    changed = F.coalesce((key != F.lag(key).over(by_doc())).cast("int"), F.lit(1))
+    runs = lines.withColumn("_new", changed).withColumn("run_no", F.sum("_new").over(by_doc().rowsBetween(Window.unboundedPreceding, 0)))
     inside = Window.partitionBy("doc_id", "run_no")
     return (
         runs.withColumn("place", F.row_number().over(inside.orderBy("line_no")))

@@ -81,9 +81,10 @@ def top_experts(score: Column, pressure: Column | float = 0.0) -> Column:
         lambda s, x: F.struct((-s).alias("n"), x["i"].alias("i"), x["e"].alias("expert"), s.alias("s")),
     )
     best = F.slice(F.array_sort(placed), F.lit(1), k)
-    top = F.get(best, F.lit(0))["s"]
-    total = F.aggregate(best, F.lit(0.0), lambda a, x: a + F.exp(x["s"] - top))
-    return F.transform(best, lambda x: F.struct(x["expert"].alias("expert"), (F.exp(x["s"] - top) / total).alias("weight")))
+    top = F.array_max(F.transform(best, lambda x: x["s"]))
+    powers = T.let(top, lambda t: F.transform(best, lambda x: F.struct(x["expert"].alias("expert"), F.exp(x["s"] - t).alias("e"))))
+    total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x["e"])
+    return T.let(total, lambda n: F.transform(powers, lambda x: F.struct(x["expert"].alias("expert"), (x["e"] / n).alias("weight"))))
 
 
 def hhi(counts: list[Column]) -> Column:

@@ -86,6 +86,10 @@ def _matches(rule: Rule, line: Column) -> Column:
     return (T.strip_ansi(line) if rule.strip_ansi else line).rlike(rule.regex)
 
 
+def _any(lines: Column, regex: str, bare: bool = False) -> Column:
+    return F.exists(lines, lambda x: (T.strip_ansi(x) if bare else x).rlike(regex))
+
+
 def rule_number(rules: list[Rule], line: Column) -> Column:
     """Number of the rule that decides a line; null where none does."""
     out = None
@@ -105,21 +109,27 @@ def should_remove(rules: list[Rule], line: Column) -> Column:
 
 
 def runs(values: Column) -> Column:
-    """Array of (begin, count) of the runs of equal neighbours, from 1; nulls are equal."""
-    n = F.size(values)
+    """Array of (begin, count, value) of the runs of equal neighbours, from 1."""
+    pairs = T.with_previous(values)
     begins = F.filter(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: (i <= n) & ((i == 1) | ~F.get(values, i - 1).eqNullSafe(F.get(values, i - 2))),
+        F.transform(pairs, lambda p, i: F.when((i == 0) | (p["x"] != p["before"]), F.struct((i + 1).alias("begin"), p["x"].alias("value")))),
+        lambda s: s.isNotNull(),
     )
-    return F.zip_with(
+    ends = lambda b: F.concat(F.transform(F.slice(b, 2, F.greatest(F.size(b), F.lit(1))), lambda s: s["begin"]), F.array(F.size(values) + 1))
+    return T.let(
         begins,
-        F.concat(F.slice(begins, 2, F.greatest(F.size(begins), F.lit(1))), F.array(n + 1)),
-        lambda a, b: F.struct(a.alias("begin"), (b - a).alias("count")),
+        lambda b: F.zip_with(
+            b, ends(b), lambda s, e: F.struct(s["begin"].alias("begin"), (e - s["begin"]).alias("count"), s["value"].alias("value"))
+        ),
     )
 
 
 def line_rules(lines: Column, rules: list[Rule]) -> Column:
     """Array of lines after remove, collapse, replace and truncate."""
+    return T.let(lines, lambda own: _line_rules(own, rules))
+
+
+def _line_rules(lines: Column, rules: list[Rule]) -> Column:
     numbers = F.transform(lines, lambda x: F.coalesce(rule_number(rules, x), F.lit(-1)))
     collapse = [k for k, r in enumerate(rules) if r.action == "collapse"]
 
@@ -135,7 +145,7 @@ def line_rules(lines: Column, rules: list[Rule]) -> Column:
         return out.otherwise(F.array(line))
 
     def run(x: Column) -> Column:
-        number = F.get(numbers, x["begin"] - 1)
+        number = x["value"]
         kept = F.flatten(F.transform(F.slice(lines, x["begin"], x["count"]), lambda y: one(number, y)))
         if not collapse:
             return kept
@@ -144,24 +154,31 @@ def line_rules(lines: Column, rules: list[Rule]) -> Column:
     return F.when(F.size(lines) == 0, lines).otherwise(F.flatten(F.transform(runs(numbers), run)))
 
 
+def _last(values: Column, n: int) -> Column:
+    return T.let(values, lambda v: F.slice(v, F.greatest(F.size(v) - n, F.lit(0)) + 1, F.greatest(F.size(v), F.lit(1))))
+
+
 def apply_rules(text: Column | str, rules: list[Rule], on_empty: str | None = None) -> Column:
     """A text after all rules: match_output first, then lines, then head and tail in rule order, then on_empty."""
-    lines = T.lines(text)
-    kept = line_rules(lines, rules)
+    return T.let(T.lines(text), lambda lines: _apply(lines, rules, on_empty))
+
+
+def _apply(lines: Column, rules: list[Rule], on_empty: str | None) -> Column:
+    kept = _line_rules(lines, rules)
     for r in rules:
         if r.action == "head":
             kept = F.slice(kept, 1, int(r.arg))
         elif r.action == "tail":
-            kept = F.slice(kept, F.greatest(F.size(kept) - int(r.arg), F.lit(0)) + 1, F.greatest(F.size(kept), F.lit(1)))
+            kept = _last(kept, int(r.arg))
     out = F.array_join(kept, "\n")
     fallback = on_empty if on_empty is not None else next((r.arg for r in rules if r.action == "on_empty"), None)
     if fallback is not None:
-        out = F.when(T.is_blank(out), F.lit(fallback)).otherwise(out)
+        out = T.let(out, lambda x: F.when(T.is_blank(x), F.lit(fallback)).otherwise(x))
     for r in reversed(rules):
         if r.action == "match_output":
-            hit = F.exists(lines, lambda x, r=r: _matches(r, x))
+            hit = _any(lines, r.regex, r.strip_ansi)
             if r.unless:
-                hit = hit & ~F.exists(lines, lambda x, r=r: x.rlike(r.unless))
+                hit = hit & ~_any(lines, r.unless)
             out = F.when(hit, F.lit(r.arg)).otherwise(out)
     return out
 
@@ -197,7 +214,7 @@ def user_filter(text: Column | str, f: UserFilter) -> Column:
         lines = F.filter(lines, lambda x: x.rlike("|".join(f"(?:{p})" for p in f.keep)))
     if f.max_lines is not None:
         lines = F.slice(lines, 1, f.max_lines)
-    out = F.when(F.size(lines) == 0, F.lit(f.on_empty)).otherwise(F.array_join(lines, "\n"))
+    out = T.let(lines, lambda x: F.when(F.size(x) == 0, F.lit(f.on_empty)).otherwise(F.array_join(x, "\n")))
     if f.match_output:
         hit = t.rlike(f.match_output)
         out = F.when(hit & ~t.rlike(f.unless) if f.unless else hit, F.lit(f.message)).otherwise(out)
