@@ -15,13 +15,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
 
 
+#: Folders made here, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a
-    temporary one that is set here when the session names none (local runs)."""
+    temporary one of the driver's where the session names none (local runs)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="textsluice-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="textsluice-")
+        root = _OWN[app]
     return root.rstrip("/")
 
 
