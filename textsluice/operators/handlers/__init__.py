@@ -20,7 +20,7 @@ WRAPPERS = ("sudo", "time", "npx", "bunx", "pnpx", "nice", "env", "command")
 def resolve(command: str) -> tuple[str, str] | None:
     """(handler, subcommand) of a command line: environment, wrappers and folders aside; null for unknown ones."""
     tokens = [t for t in command.split() if t]
-    while tokens and (("=" in tokens[0] and tokens[0].split("=")[0].isupper()) or tokens[0] in WRAPPERS):
+    while len(tokens) > 1 and (("=" in tokens[0] and tokens[0].split("=")[0].isupper()) or tokens[0] in WRAPPERS):
         tokens.pop(0)
     if not tokens:
         return None

@@ -40,7 +40,7 @@ def hook_events(lines: DataFrame, json: str = "value") -> DataFrame:
 
 def conversations(docs: DataFrame, json: str = "value", id_col: str = "conv_id") -> DataFrame:
     """conv_id, turn, role, text of a bare array or of ``{"messages": [...]}``; a missing role is user's."""
-    array = F.coalesce(F.from_json(json, MESSAGE), F.from_json(F.get_json_object(json, "$.messages"), MESSAGE))
+    array = F.coalesce(F.from_json(F.get_json_object(json, "$.messages"), MESSAGE), F.from_json(json, MESSAGE))
     return docs.select(id_col, F.posexplode(array).alias("turn", "m")).select(
         id_col, "turn", F.coalesce("m.role", F.lit("user")).alias("role"), F.coalesce("m.content", F.lit("")).alias("text")
     )
