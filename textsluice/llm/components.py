@@ -20,7 +20,6 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     """
     a, b = edges.columns
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    before = None
     for r in range(ROUNDS):
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -29,11 +28,12 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct()
         now = scratch.save(small, f"{name}-small{r}")
-        state = now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
         scratch.drop(f"{name}-large{r}", *([f"{name}-small{r - 1}"] if r else []))
-        if state == before:
+        # done when every node has one neighbour and no neighbour has one of its own
+        roles = now.select(F.col("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above"))
+        roles = roles.union(now.select("v", F.lit(0), F.lit(1))).groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+        if roles.filter("below > 1 or (below = 1 and above = 1)").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
                 now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
-        before = state
     raise ValueError(f"components did not settle in {ROUNDS} rounds")

@@ -43,6 +43,8 @@ FREQUENT = 2_000_000
 #: Sets smaller than this are indexed by single shingles only.
 SMALL = 64
 FLUSH = 4_000_000
+#: Bits of a set's parity map.
+MAP_BITS = 1024
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -302,16 +304,33 @@ def _lists(percent: int):
     return lists
 
 
+def _may_link(x: np.ndarray, y: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether parity maps allow a link of sets with ``n`` shingles together. A shingle flips one bit of its
+    set's map, so the bits that differ are at most as many as the shingles that do: no link is lost."""
+    differ = np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64)
+    return (100 + percent) * differ <= (100 - percent) * n
+
+
+def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at, part in chunks(batch.column("text")):
+            flips = [np.bincount((s % np.uint64(MAP_BITS)).astype(np.int64), minlength=MAP_BITS) & 1 for s in shingle_sets(part)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node").slice(at, len(part)), pa.array([np.packbits(f.astype(bool)).tobytes() for f in flips], pa.binary())], names=["node", "map"]
+            )
+
+
 def _pairs(every: bool, percent: int):
-    """Pairs to verify from rows in order of (signature, size): of different components, of sizes
-    that allow a link. Not ``every``: of the nodes of a list, only those of other components than the
+    """Pairs to verify from rows in order of (signature, size): of different components, of sizes and
+    parity maps that allow a link. Not ``every``: of the nodes of a list, only those of other components than the
     node before. Goes on from batch to batch with those rows of the last list that can still pair."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 4), np.int64)
+        held, held_maps = np.zeros((0, 4), np.int64), np.zeros((0, MAP_BITS // 64), np.uint64)
         for batch in batches:
             new = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)], axis=1)
             rows = np.concatenate([held, new])
+            maps = np.concatenate([held_maps, np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, MAP_BITS // 64)])
             fresh = len(held)
             if not len(rows):
                 continue
@@ -324,6 +343,7 @@ def _pairs(every: bool, percent: int):
                 i = i[sig[i] == sig[np.minimum(i + d, len(rows) - 1)]]
                 i = i[_close(n[i], n[i + d], percent)]  # sizes ascend: later ones are no closer
                 use = i[(comp[i] != comp[i + d]) & (i + d >= fresh)]
+                use = use[_may_link(maps[use], maps[use + d], n[use] + n[use + d], percent)]
                 if len(use):
                     found.append(np.unique(np.stack([np.minimum(node[use], node[use + d]), np.maximum(node[use], node[use + d])], axis=1), axis=0))
                     if sum(map(len, found)) > 1_000_000:
@@ -336,8 +356,9 @@ def _pairs(every: bool, percent: int):
             if found:
                 both = np.unique(np.concatenate(found), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-            tail = rows[sig == sig[-1]]
-            held = tail[_close(tail[:, 2], tail[-1:, 2], percent)] if every else tail[-1:]
+            last = np.flatnonzero(sig == sig[-1])
+            last = last[_close(n[last], n[-1:], percent)] if every else last[-1:]
+            held, held_maps = rows[last], maps[last]
 
     return pairs
 
@@ -422,6 +443,7 @@ def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
         rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p"))).select("node", "text"), "texts"
     )
     scratch.free()
+    maps = scratch.save(texts.mapInArrow(_maps, "node long, map binary"), "maps")
     links = _links(stars, texts, percent, scratch, "star")
     for name, every in (("chain", False), ("rest", True)):
         roots = scratch.save(components(links, scratch, f"{name}-cc"), f"{name}-roots")
@@ -429,6 +451,8 @@ def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
         mixed = placed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("sig")
         pairs = scratch.save(
             placed.join(mixed, "sig", "left_semi")
+            .join(maps, "node")
+            .select("sig", "node", "n", "root", "map")
             .repartition("sig")
             .sortWithinPartitions("sig", "n", F.xxhash64("node", "sig"))
             .mapInArrow(_pairs(every, percent), "a long, b long")
