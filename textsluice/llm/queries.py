@@ -193,6 +193,26 @@ with d as (
 select doc_id, size::bigint as size, source_size, target,
        (size * (whole + case when want > 0 and whole < 3 and upto - size / 2.0 <= want then 1 else 0 end))::bigint as taken
 from p
+""",
+    "op8_jaccard_join": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), d as (
+  select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                      when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s
+  from w
+), t as (
+  select doc_id, len(s) as n, unnest(s) as x from d
+), l as (
+  select a.doc_id as p, b.doc_id as q from t a join t b on a.x = b.x and a.doc_id < b.doc_id
+  group by 1, 2, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), e as (
+  select p, q from l union all select q, p from l
+), c(doc_id, root) as (
+  select doc_id, doc_id from d union select e.q, c.root from c join e on e.p = c.doc_id
+)
+select doc_id, len(any_value(s))::bigint as n_shingles, min(root) as component_id from c join d using (doc_id) group by doc_id
 """,
     "op9_exact_dedup": r"""
 with d as (
