@@ -8,7 +8,7 @@ from textsluice.operators import convo as C
 from textsluice.operators import graph as G
 from textsluice.operators import logs as J
 from textsluice.operators import session as S
-from textsluice.operators.near_dup import greedy_clusters, simhash_pairs
+from textsluice.operators.near_dup import greedy_clusters, simhash_members, simhash_pairs
 from textsluice.plans.catalog import ORACLE_SQL, QUERIES
 from textsluice.sources import readers, sinks
 
@@ -93,6 +93,18 @@ def test_simhash_pairs_match_brute_force(spark):
     assert got == {(a, b) for a in reps for b in reps if a < b and (hashes[a] ^ hashes[b]).bit_count() <= 3}
 
 
+def test_near_dup_docs_reaches_every_document(spark):
+    hashes = {r.doc_id: r.simhash for r in QUERIES["simhash_docs"](spark, SF).collect() if r.simhash is not None}
+    links = QUERIES["near_dup_docs"](spark, SF).collect()
+    least = {}
+    for i in sorted(hashes):
+        least.setdefault(hashes[i], i)
+    got = [(r.a, r.b) for r in links if r.distance == 0]
+    assert sorted(got) == sorted((least[h], i) for i, h in hashes.items() if least[h] != i) and len(got) > 0
+    df = spark.createDataFrame([(5, 7), (3, 7), (9, 7), (1, None), (2, None), (4, 8)], "doc_id long, simhash long")
+    assert {tuple(r) for r in simhash_members(df).collect()} == {(3, 5, 0), (3, 9, 0)}
+
+
 def test_greedy_clusters(spark):
     df = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 2, [0.99, 0.1]), (1, 3, [0.0, 1.0])], "label int, vec_id int, embedding array<double>")
     assert [r.cluster for r in greedy_clusters(df, "label", "vec_id").orderBy("vec_id").collect()] == [0, 0, 1]

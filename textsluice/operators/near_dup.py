@@ -34,6 +34,15 @@ def simhash_pairs(hashes: DataFrame, distance: int = 3) -> DataFrame:
     return pairs.filter(F.col("band") == first).select("a", "b", "distance")
 
 
+def simhash_members(hashes: DataFrame) -> DataFrame:
+    """(a, b, 0) of every document b whose hash equals that of its representative a, the smallest id of that hash.
+
+    With ``simhash_pairs`` this tells every near pair: the links of a representative hold for all its members.
+    """
+    one = hashes.filter("simhash is not null").groupBy("simhash").agg(F.min("doc_id").alias("a"))
+    return hashes.join(one, "simhash").filter("doc_id > a").select("a", F.col("doc_id").alias("b"), F.lit(0).alias("distance"))
+
+
 def greedy_clusters(df: DataFrame, group: str, key: str, least: float = 0.85, vector: str = "embedding") -> DataFrame:
     """(group, key, cluster) by greedy online clustering in key order. The order makes it sequential within a
     group; what is held per group are the cluster centres, rows come in batches."""

@@ -391,10 +391,13 @@ def simhash_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def near_dup_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Representative documents by SimHash bands, verified by distance: equal hashes are one node first."""
-    from textsluice.operators.near_dup import simhash_pairs
+    """Near documents by SimHash bands, verified by distance: equal hashes are one node first, its members come at distance 0."""
+    from textsluice.operators.near_dup import simhash_members, simhash_pairs
 
-    return simhash_pairs(simhash_docs(spark, sf_dir).select("doc_id", "simhash"), 3)
+    # hashed once, read three times: no filter moves below the explode, and Spark reuses the one shuffle
+    hashes = simhash_docs(spark, sf_dir).select(F.explode(F.array(F.struct("doc_id", "simhash"))).alias("h")).select("h.*")
+    hashes = hashes.filter("doc_id is not null and simhash is not null").repartition("doc_id")
+    return simhash_pairs(hashes, 3).unionByName(simhash_members(hashes))
 
 
 @query()
