@@ -105,6 +105,26 @@ def test_near_dup_docs_reaches_every_document(spark):
     assert {tuple(r) for r in simhash_members(df).collect()} == {(3, 5, 0), (3, 9, 0)}
 
 
+def test_lexical_queries_score_whole_texts(spark):
+    import re
+
+    def brute(text, path, tokens):
+        def known(parts):
+            camel = [x for p in parts for x in re.sub(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "\1", p).split("\1")]
+            return {x.lower() for x in [*parts, *camel] if len(x.encode()) >= 2}
+
+        sigs, parts = known(re.split(r"[^\w]+", text)), known(re.split(r"[/\\._-]", path))
+        begins = lambda t: len(t) >= 4 and any(x.startswith(t) for x in sigs | parts)
+        return min(1.0, sum((t in sigs) + 0.8 * (t in parts) + 0.3 * begins(t) for t in tokens) / (len(tokens) * 2.1))
+
+    tokens = ["the", "and", "doc1", "that"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "text").collect()
+    want = {f"src/{r.source}/doc{r.doc_id}.rs": brute(r.text or "", f"src/{r.source}/doc{r.doc_id}.rs", tokens) for r in docs}
+    got = {r.file: r.score for r in QUERIES["lexical_score"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[f] - want[f]) < 1e-5 for f in want)
+    assert all(abs(r.lexical - want[r.file]) < 1e-5 for r in QUERIES["hybrid_rank"](spark, SF).collect())
+
+
 def test_greedy_clusters(spark):
     df = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 2, [0.99, 0.1]), (1, 3, [0.0, 1.0])], "label int, vec_id int, embedding array<double>")
     assert [r.cluster for r in greedy_clusters(df, "label", "vec_id").orderBy("vec_id").collect()] == [0, 0, 1]

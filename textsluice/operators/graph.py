@@ -56,17 +56,20 @@ def impact(edges: DataFrame, starts: DataFrame, depth: int = 2, most: int = 20)
 def base_rank(files: DataFrame, boosted: bool = False) -> DataFrame:
     """``files`` (file, similarity, change_count, read_frequency, role) with base: similarity, reads and the
     logarithm of co-changes against the largest, times the role's weight."""
-    top = F.max("change_count").over(Window.partitionBy())
+    top = F.col("_top")
     co = F.when(top > 0, F.log1p("change_count") / F.log1p(top)).otherwise(0.0)
     score = 0.5 * F.col("similarity") + 0.2 * co + 0.3 * F.col("read_frequency") if boosted else 0.7 * F.col("similarity") + 0.3 * co
     weight = F.when(F.col("role") == "entry_point", 1.5).when(F.col("role") == "state_manager", 1.2).when(F.col("role") == "persistence", 1.1).otherwise(1.0)
-    return files.withColumn("base", score * weight)
+    most = files.agg(F.max("change_count").alias("_top"))  # one row, so that no task reads all files
+    return files.crossJoin(F.broadcast(most)).withColumn("base", score * weight).drop("_top")
 
 
 def hybrid_rank(ranked: DataFrame, query: str, k: int, file: str = "file", signatures: str = "signatures") -> DataFrame:
-    """The best 10 k by base, scored again as 0.4 base + 0.6 lexical, the best k of these."""
+    """The best 10 k by base, scored again as 0.4 base + 0.6 lexical, the best k of these. ``file`` is a key;
+    the ordering moves no signatures, only the 10 k files' are read."""
     tokens = T.query_tokens(F.lit(query))
-    first = ranked.orderBy(F.col("base").desc(), file).limit(10 * k)
+    best = ranked.select(file, "base").orderBy(F.col("base").desc(), file).limit(10 * k)
+    first = ranked.join(F.broadcast(best.select(file)), file, "left_semi")
     lexical = T.lexical_score(tokens, T.signature_tokens(F.col(signatures)), T.path_tokens(F.col(file)))
     return first.withColumn("lexical", lexical).withColumn("final", 0.40 * F.col("base") + 0.60 * F.col("lexical")).orderBy(F.col("final").desc(), file).limit(k)
 

@@ -1006,7 +1006,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(
         F.concat(F.lit("src/"), "source", F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".rs")).alias("file"),
-        F.substring("text", 1, 200).alias("signatures"),
+        F.col("text").alias("signatures"),
         (F.pmod(F.col("doc_id") * 37, F.lit(100)) / 100.0).alias("similarity"),
         F.pmod(F.col("doc_id"), F.lit(7)).alias("change_count"),
         F.lit(0.0).alias("read_frequency"),
