@@ -125,6 +125,39 @@ def test_lexical_queries_score_whole_texts(spark):
     assert all(abs(r.lexical - want[r.file]) < 1e-5 for r in QUERIES["hybrid_rank"](spark, SF).collect())
 
 
+def test_hit_at_5_passages_matches_brute_force(spark):
+    import re
+
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    runs = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    def brute(items, docs):
+        out = {}
+        for task, text in items:
+            w = words(text)
+            n, wide = min(3, len(w)), min(8, len(w))
+            spots = [tuple(w[i : i + n]) for i in range(len(w) - n + 1)] if w else []
+            counts = sorted((-c, f) for f, t in docs if (c := sum(x in known for x in spots) if (known := runs(words(t), n) if n else set()) else 0))
+            expected = {f for f, t in docs if w and runs(w, wide) & runs(words(t), wide)}
+            rank = next((i for i, (_, f) in enumerate(counts[:5], 1) if f in expected), None)
+            out[task] = (rank is not None, 1 / rank if rank else 0.0)
+        return out
+
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    docs = [(str(r.doc_id), r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.item_id: (r.hit, r.rr) for r in QUERIES["hit_at_5_passages"](spark, SF).collect()}
+    assert got == brute(items, docs) and 0 < sum(hit for hit, _ in got.values()) < len(got)
+
+    # a long word alone is no hit; six files with more runs push the passage out of the five; short items match whole
+    eight = "alpha beta gamma delta epsilon zeta theta kappa"
+    items = [(1, f"{eight} one two three four five six seven eight nine ten"), (2, "Kappa alpha."), (3, ""), (4, None), (5, "theta-kappa iota")]
+    docs = [("z", eight), ("y", "alpha only"), ("x", None), *((f"m{i}", "one two three four five six. Alpha beta gamma delta. seven eight nine ten; alpha theta kappa, iota") for i in range(6))]
+    matches = G.passage_matches(spark.createDataFrame(items, "task int, text string"), spark.createDataFrame(docs, "file string, text string"))
+    found = G.retrieval_metrics(G.top_files(matches), matches.filter("contains")).collect()
+    want = brute(items, docs)
+    assert {r.task: (r.hit, r.rr) for r in found} == {t: want[t] for t in (1, 5)} and want[1] == (False, 0.0) and want[5] == (True, 1.0)
+
+
 def test_greedy_clusters(spark):
     df = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 2, [0.99, 0.1]), (1, 3, [0.0, 1.0])], "label int, vec_id int, embedding array<double>")
     assert [r.cluster for r in greedy_clusters(df, "label", "vec_id").orderBy("vec_id").collect()] == [0, 0, 1]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textsluice.functions import text as T
@@ -90,6 +90,38 @@ def retrieval_metrics(results: DataFrame, expected: DataFrame, k: int = 5) -> Da
     )
 
 
+def passage_matches(items: DataFrame, docs: DataFrame, run: int = 3, passage: int = 8) -> DataFrame:
+    """(task, file, n_runs, contains) of files that share a run of ``run`` words with an item: how many of the item's
+    runs occur, and whether ``passage`` words of it stand in the file in a row (all of them where an item is shorter).
+
+    ``items``: task, text, few enough to broadcast; ``docs``: file, text. Whole texts meet in an equi-join of runs.
+    """
+    words = lambda c: F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+
+    def runs(w: Column, n: Column) -> Column:
+        at = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(i.alias("at"), F.array_join(F.slice(w, i + 1, n), " ").alias("run")))
+
+    asked = items.select("task", words(F.col("text")).alias("w")).withColumn("n", F.least(F.size("w"), F.lit(run))).filter("n > 0")
+    widths = sorted(r.n for r in asked.select("n").distinct().collect())  # 1 to ``run``, as items shorter than a run have their own
+    need = F.least(F.size("w"), F.lit(passage)) - F.col("n") + 1
+    wanted = asked.select("task", need.alias("need"), F.explode(runs(F.col("w"), F.col("n"))).alias("r")).select("task", "need", F.col("r.at").alias("p"), "r.run")
+    every = T.let(words(F.col("text")), lambda w: F.concat(F.array().cast("array<struct<at: int, run: string>>"), *(runs(w, F.lit(n)) for n in widths)))
+    held = docs.select("file", F.explode(every).alias("r")).select("file", F.col("r.at").alias("q"), "r.run")
+    lines = held.join(F.broadcast(wanted), "run").groupBy("task", "file", "need", (F.col("q") - F.col("p")).alias("shift")).agg(F.array_sort(F.collect_set("p")).alias("ps"))
+    row = F.size(F.filter("ps", lambda x, i: F.get(F.col("ps"), i + F.col("need") - 1) == x + F.col("need") - 1)) > 0
+    return lines.groupBy("task", "file").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ps")))).alias("n_runs"), F.max(row).alias("contains"))
+
+
+def top_files(matches: DataFrame, k: int = 5, parts: int = 64) -> DataFrame:
+    """(task, file, rank) of the ``k`` files with most runs of each task, ties by file; first within ``parts``, so that
+    no task of Spark ranks all files of a common passage."""
+    order = [F.col("n_runs").desc(), "file"]
+    some = Window.partitionBy("task", F.pmod(F.xxhash64("file"), F.lit(parts))).orderBy(*order)
+    first = matches.select("task", "file", "n_runs", F.row_number().over(some).alias("rank")).filter(F.col("rank") <= k).drop("rank")
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("task").orderBy(*order))).filter(F.col("rank") <= k).select("task", "file", "rank")
+
+
 def parse_git_log(lines: DataFrame, sentinel: str) -> DataFrame:
     """(commit, file) from log lines in order: a commit is what follows a line that starts with ``sentinel``."""
     by = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
