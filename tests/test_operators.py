@@ -158,6 +158,40 @@ def test_hit_at_5_passages_matches_brute_force(spark):
     assert {r.task: (r.hit, r.rr) for r in found} == {t: want[t] for t in (1, 5)} and want[1] == (False, 0.0) and want[5] == (True, 1.0)
 
 
+def test_cosine_topk_every20_matches_pairwise(spark):
+    from textsluice.operators import semantic as M
+    from textsluice.plans.tables import vectors
+
+    v = vectors(spark, SF)
+    asked = v.filter("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding as q")
+    pairs = lambda df: sorted((r.query_id, r["rank"], r.vec_id, round(r.cosine, 4)) for r in df.collect())
+    want = pairs(M.nearest(v, asked, 10))
+    assert pairs(QUERIES["cosine_topk_every20"](spark, SF)) == want and len(want) == 10 * asked.count() > 50
+    same = spark.createDataFrame([(i, [1.0, 2.0, 0.5] if i % 3 else [float(i), 1.0]) for i in range(60)] + [(60, [0.0, 0.0]), (61, None)], "vec_id long, embedding array<float>")
+    asked = same.filter("vec_id < 61").selectExpr("vec_id as query_id", "embedding as q")
+    got = M.nearest_blocks(same, asked, 5, block=16, rows=20)
+    assert pairs(got) == pairs(M.nearest(same.filter("embedding is not null"), asked, 5))
+
+
+def test_impact_bfs2_all_starts_from_every_file(spark):
+    from collections import Counter
+
+    lists = {}
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_suppkey").distinct().collect():
+        lists.setdefault(r.l_orderkey, []).append(r.l_suppkey)
+    counts = {}
+    for files in lists.values():
+        for a in files:
+            counts.setdefault(a, Counter()).update(b for b in files if b != a)
+    near = {a: [b for b, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:20]] for a, c in counts.items()}
+    want = set()
+    for r in spark.read.parquet(f"{SF}/supplier.parquet").collect():
+        one = set(near.get(r.s_suppkey, []))
+        two = {c for b in one for c in near[b]} - one - {r.s_suppkey}
+        want |= {(r.s_suppkey, f, 1) for f in one} | {(r.s_suppkey, f, 2) for f in two}
+    assert {tuple(r) for r in QUERIES["impact_bfs2_all"](spark, SF).collect()} == want and len({s for s, _, _ in want}) > 3
+
+
 def test_greedy_clusters(spark):
     df = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 2, [0.99, 0.1]), (1, 3, [0.0, 1.0])], "label int, vec_id int, embedding array<double>")
     assert [r.cluster for r in greedy_clusters(df, "label", "vec_id").orderBy("vec_id").collect()] == [0, 0, 1]

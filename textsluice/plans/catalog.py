@@ -563,6 +563,14 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.nearest(vectors(spark, sf_dir), _query_vectors(spark, sf_dir, 5), 10).select("query_id", "vec_id", _r("cosine").alias("cosine"), "rank")
 
 
+@query()
+def cosine_topk_every20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of ``cosine_topk``, whose SQL asks five vectors only, for every vec_id divisible by 20."""
+    v = vectors(spark, sf_dir)
+    asked = v.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return M.nearest_blocks(v, asked, 10).select("query_id", "vec_id", _r("cosine").alias("cosine"), "rank")
+
+
 @query(f"with {CEN} select label, round(list_sum(centroid), 4) as total, round(centroid[1], 4) as first, len(centroid)::int as dims from cen")
 def centroid_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = V.centroids(vectors(spark, sf_dir), ["label"])
@@ -1002,6 +1010,13 @@ def impact_bfs2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.impact(G.cochanges(_changes(spark, sf_dir)), starts)
 
 
+@query()
+def impact_bfs2_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``impact_bfs2``, whose SQL starts from three files only, from every file."""
+    starts = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file"))
+    return G.impact(G.cochanges(_changes(spark, sf_dir)), starts)
+
+
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(
