@@ -118,6 +118,18 @@ def test_urls(spark):
     }
 
 
+def test_urls_on_two_lists(spark):
+    log = [
+        ("domain", "a.org", "add", "ads", 10), ("domain", "a.org", "add", "spam", 20), ("domain", "a.org", "remove", "spam", 30), ("domain", "a.org", "remove", "ads", 40),
+        ("path", "/x/", "add", "adult", 10), ("path", "/x/", "add", "malware", 10), ("path", "/x/", "remove", "adult", 20),
+    ]
+    captures = [(t, "http://w.a.org/", t) for t in (9, 10, 20, 30, 39, 40)] + [(100 + t, "http://b.net/x/1", t) for t in (9, 10, 20)]
+    found = url_filter(spark.createDataFrame(captures, "page_id int, url string, fetched_at int"), spark.createDataFrame(log, "kind string, pattern string, action string, category string, at int"))
+    assert {r.page_id: r.categories for r in found.collect()} == {
+        9: "", 10: "ads", 20: "ads,spam", 30: "ads", 39: "ads", 40: "", 109: "", 110: "adult,malware", 120: "malware",
+    }
+
+
 def test_pii(spark):
     rows = [
         (1, "Mail a.B-1@Mail7.example.com or a.b-1@mail7.example.com, ip 10.0.0.255. Call +1 (017) 555-7713 now", 1),

@@ -1,11 +1,11 @@
 """URL filtering by a temporal join with dated block lists.
 
-A list is a log of dated entries that add or remove a pattern. Per pattern, each
-entry holds from its date until the next one, so the log becomes validity
+A list (category) is a log of dated entries that add or remove a pattern. Per pattern
+and list, each entry holds from its date until the next one, so the log becomes validity
 intervals. A capture is looked up under every key its URL can match (the URL, its
 host and parent domains, and its path's leading parts with and without host),
-and each lookup is an as-of join: of the pattern's intervals, the one that covers
-the fetch time decides.
+and each lookup is an as-of join: of the pattern's intervals, those that cover
+the fetch time decide.
 """
 
 from __future__ import annotations
@@ -18,11 +18,12 @@ def intervals(entries: DataFrame) -> DataFrame:
     """kind, pattern, category, valid_from, valid_to of the stretches in which an entry is active.
 
     ``entries``: kind (url, domain or path), pattern, action (add or remove), category, at.
-    Of entries of a pattern with the same date a removal counts last. Entries with
-    a null pattern or date are ignored; an open end is null.
+    A category is a list of its own: only its own entries end a stretch of it. Of
+    entries of a pattern and category with the same date a removal counts last.
+    Entries with a null pattern or date are ignored; an open end is null.
     """
     log = entries.filter("kind is not null and pattern is not null and at is not null").distinct()
-    turn = Window.partitionBy("kind", "pattern").orderBy("at", (F.col("action") == "remove").cast("int"), "category")
+    turn = Window.partitionBy("kind", "pattern", "category").orderBy("at", (F.col("action") == "remove").cast("int"))
     return (
         log.withColumn("valid_to", F.lead("at").over(turn))
         .filter((F.col("action") == "add") & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("at"))))
