@@ -51,7 +51,8 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Language ID, its model and the tokenizer are not expressible in SQL; tests hold run() against brute force.
+#: Language ID, its model and the tokenizer are not expressible in SQL. The test holds run() against the stage functions by
+#: rows per doc_id only, not against an independent version.
 ORACLE_SQL = None
 
 
