@@ -107,6 +107,20 @@ def test_linked_sets_share_a_signature():
     assert linked > 100
 
 
+@pytest.mark.parametrize("percent", [5, 10, 20, 30, 50, 60])
+def test_signatures_meet_at_low_percent(percent):
+    rng = np.random.default_rng(percent)
+    for n in (64, 70, 256, 260, 1100):
+        every = np.unique(rng.integers(1, 2**64, n, dtype=np.uint64))
+        prints = np.sort(every >> np.uint64(24))
+        df = rng.choice([40, 100, 3000, 5000], len(prints)).astype(np.int32)
+        ordered = every[np.lexsort((every, df[np.searchsorted(prints, every >> np.uint64(24))]))]
+        for m in {-(-percent * n // 100), n // 4, n // 2, n}:
+            if 100 * m >= percent * n:
+                part = np.sort(ordered[n - m :])  # lacks the shingles that come first in the prefix
+                assert len(np.intersect1d(J.signatures(every, prints, df, percent), J.signatures(part, prints, df, percent)))
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (7, 7)]
     df = spark.createDataFrame(edges, "a long, b long")

@@ -194,7 +194,7 @@ def signatures(s: np.ndarray, prints: np.ndarray, df: np.ndarray, percent: int)
     freq, count = freq[order], count[order]
     rest, out = need - len(rare), [rare]
     least = -(-percent * len(s) // 100)
-    for b in {size_bucket(len(s)), size_bucket(least)}:
+    for b in range(size_bucket(least), size_bucket(len(s)) + 1):  # all that a smaller partner can lie in
         tag = np.array([b + 1], np.uint64) * _ODD[4]
         small = 4**b < SMALL
         deal = _mix(freq ^ _ODD[3])
