@@ -5,9 +5,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import functions as F
 
-from textsluice.llm import langid, toxicity
+from textsluice.llm import langid, mtree, toxicity
 from textsluice.llm.mtree import build, quantised, search, top_k
 from textsluice.llm.pii import replace_pii
 from textsluice.llm.urlfilter import host_of, intervals, keys_of, url_filter
@@ -29,7 +30,9 @@ def test_tree_search_is_exact():
         top = float((vectors.astype(float) ** 2).sum(axis=1).max())
         assert sorted(k for p in pages if p.leaf for k in p.keys.tolist()) == ids.tolist()
         for q in range(0, n, max(1, n // 20)):
-            assert [(s, -i) for s, i in search(pages, vectors[q], int(ids[q]), 10, top)] == brute(ids, vectors, vectors[q], ids[q], 10)
+            best = []
+            search(pages, vectors[q], int(ids[q]), 10, top, best)
+            assert sorted(best, reverse=True) == brute(ids, vectors, vectors[q], ids[q], 10)
 
 
 def test_top_k(spark):
@@ -99,6 +102,20 @@ def test_toxicity_learns_words_stems_and_pairs(spark):
     assert toxicity.toxicity(df.limit(0), machine).count() == 0
 
 
+def test_many_trees_and_blocks(spark):
+    rng = np.random.default_rng(8)
+    vectors, ids = rng.integers(-30, 30, (1500, 6)), np.arange(1500)
+    vectors[300:700] = vectors[300]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors, strict=True)] + [(9000, None), (9001, [1])], "id long, vector array<long>")
+    found = top_k(df, df.filter("id % 20 = 0 or id >= 9000"), 10, block=4, tree=16)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.score, -r.vec_id))
+    assert got == {i: brute(ids, vectors, vectors[i], i, 10) for i in range(0, 1500, 20)}
+    plan = lambda n: top_k(df, df.filter("id % 20 = 0"), 10, block=n, tree=16)._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert plan(2) == plan(100)
+
+
 def test_urls(spark):
     df = spark.createDataFrame([("https://u:p@A.b.Example.org:80/x/y?z#f",), (None,), ("nonsense",)], "url string")
     rows = df.select(host_of(F.col("url")).alias("h"), keys_of(F.col("url")).alias("k")).collect()
@@ -161,6 +178,56 @@ def test_pii(spark):
     assert replace_pii(df.limit(0), "k").count() == 0
 
 
+def test_pii_of_people(spark):
+    rows = [
+        (1, "Mr John Smith called. Then Dr John Smith left; John Smith, or Smith, or Johnson Smithy."),
+        (2, "Dr John Smith was in, Smith was not."),
+        (3, "Prof Ιωάννης Παπαδόπουλος met Mrs Kim Lee and Mr Kim Lee. Write to 张伟@mail.example.cn"),
+        (4, "John Smith without a title stays, as do Smith and Kim."),
+    ]
+    out = {r.doc_id: r for r in replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    given, surname = re.match(r"Mr (\w+) (\w+) called", out[1].text).groups()
+    assert out[1].text == f"Mr {given} {surname} called. Then Dr {given} {surname} left; {given} {surname}, or {surname}, or Johnson Smithy."
+    assert out[2].text == f"Dr {given} {surname} was in, {surname} was not." and given.endswith("n") and not given.endswith("na")
+    assert out[1].n_entities == 2 + 3 and out[2].n_entities == 2 and out[4].text == rows[3][1]
+    found = re.match(r"Prof ([\u0370-\u03ff]+) ([\u0370-\u03ff]+) met Mrs (\w+) (\w+) and Mr (\w+) (\w+)\. Write to ([\u4e00-\u9fff]{2})@\w{4}\.\w{7}\.cn$", out[3].text)
+    assert found and found[3] == found[5] and found[4] == found[6]  # of both genders, so of neither
+    assert found[3].endswith("l") and "Kim" not in out[3].text
+
+
+def test_pii_of_long_texts(spark):
+    """Long runs of labels, digits and names end without using up the matcher's stack."""
+    long = ["x@" + "a." * 100_000 + "com", "x@" + "a" * 200_000, "1." * 100_000, "Mr, " * 100_000, "a@" * 100_000, "4111 " * 100_000]
+    out = replace_pii(spark.createDataFrame([(i, t) for i, t in enumerate(long)], "doc_id long, text string"), "k").collect()
+    by = {r.doc_id: r for r in out}
+    assert by[0].n_entities == 1 and by[0].text.endswith(".com") and len(by[0].text) == len(long[0]) and by[0].text != long[0]
+    assert [by[i].text for i in (1, 3, 4)] == [long[1], long[3], long[4]]
+
+
+#: The same entities by another engine, for comparison.
+PII_RE = regex.compile(
+    r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-][\p{L}\p{N}.-]*(?<!\.)\.\p{L}{2,}|(?<![0-9A-Za-z_.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![0-9A-Za-z_]|\.\d)"
+)
+
+
+def test_pii_against_plain_replacement(spark):
+    """Gaps stay; equal entities have equal surrogates, different ones different, none a real one; formats stay."""
+    rng = random.Random(4)
+    mails = [f"{rng.choice('abc')}{i % 17}@h{i % 5}.example.org" for i in range(60)]
+    ips = [f"10.{i % 3}.{i % 7}.{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice([*mails, *ips, "word", "x1", "12.5"]) for _ in range(rng.randrange(0, 40)))) for i in range(80)]
+    out = {r.doc_id: r for r in replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    table = {}
+    for i, text in rows:
+        raws, news = PII_RE.findall(text), PII_RE.findall(out[i].text)
+        assert PII_RE.split(text) == PII_RE.split(out[i].text) and len(raws) == len(news) == out[i].n_entities
+        for a, b in zip(raws, news, strict=True):
+            assert table.setdefault(a, b) == b
+            shape = lambda x: regex.sub("[a-z]", "a", regex.sub("[0-9]", "0", x))
+            assert shape(a) == shape(b) if "@" in a else b.count(".") == 3
+    assert len(set(table.values())) == len(table) > 60 and not set(table) & set(table.values())
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
