@@ -178,13 +178,13 @@ def write_ids(
     """Encodes every whole text and writes files to ``folder``, a URI that all executors share.
 
     Returns the index, not yet run: one row per file. Files in ``part`` order hold
-    the documents in ascending id order (null ids first, ties in any order). Null
+    the documents in ascending id order (null ids first, ties by text); other columns are ignored. Null
     text counts as empty and has the end id alone; an empty table writes nothing.
     """
     return (
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
         .repartitionByRange("id")
-        .sortWithinPartitions("id")
+        .sortWithinPartitions("id", "text")
         .mapInArrow(_write(folder, tokenizer or default_tokenizer(), kind), INDEX)
     )
 

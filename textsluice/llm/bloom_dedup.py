@@ -4,9 +4,10 @@ Pass one folds a 64-bit hash of every normalised text into saturating two-bit
 counters. Pass two asks, for every row, whether all counters of its hash reached
 two: a text that occurs twice always passes, a single one seldom does. Only rows
 that pass are shuffled, grouped by their full SHA-256; the rest go straight
-through. The filter is built in segments, so that no task and not the driver
-holds more than ``filter_mb``; where that is too small for the table, the hashes
-are dealt into slices, each with a filter of its own.
+through. The filter is built in segments, on the executors, and is never larger
+than ``filter_mb``, whatever the table: the fuller it is, the fewer counters a
+hash has and the more single rows pass, which costs a shuffle of theirs but never
+a missed repeat.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def _partial(bits: int, hashes: int):
     return parts
 
 
-def _merge(seg_bits: int):
+def _merge(seg_bits: int, least: int):
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(seg_bits, np.uint8)
         for batch in batches:
@@ -72,57 +73,56 @@ def _merge(seg_bits: int):
             for more in batch.column("more").to_pylist():
                 count[np.frombuffer(more, "<u4")] = 2
         yield pa.RecordBatch.from_arrays(
-            [pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(count >= 2).tobytes()], pa.binary())],
+            [pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(count >= least).tobytes()], pa.binary())],
             names=["seg", "bits"],
         )
 
     return merge
 
 
-def possible_repeats(hashes: DataFrame, rows: int, filter_mb: int = 64, bits_per_row: int = 16, probes: int = 5):
-    """A function from a column of hashes to a boolean column: may this hash occur twice?
+def shape(rows: int, filter_mb: int, bits_per_row: int = 16) -> tuple[int, int]:
+    """Bits of a segment, and probes of a hash, of a filter for ``rows`` hashes."""
+    bits = max(1024 * SEGMENTS, min(filter_mb * 8_000_000, rows * bits_per_row))
+    return -(-bits // SEGMENTS // 8) * 8, max(1, min(5, round(math.log(2) * bits / max(rows, 1))))
 
-    ``hashes`` has one BIGINT column. ``rows`` sizes the filters; a wrong number
-    costs false passes, never a missed repeat.
-    """
+
+def _filter(hashes: DataFrame, rows: int, filter_mb: int, least: int):
+    """A function from a column of hashes to a boolean column: does this hash occur ``least`` times? No hash that
+    does is answered with false. And the broadcast filter."""
     spark = hashes.sparkSession
-    per_slice = filter_mb * 8_000_000 // bits_per_row
-    slices = max(1, math.ceil(rows / per_slice))
-    seg_bits = max(1024, -(-max(rows, 1) * bits_per_row // slices // SEGMENTS) // 8 * 8 + 8)
+    seg_bits, probes = shape(rows, filter_mb)
     bits = seg_bits * SEGMENTS
-    (name,) = hashes.columns
-    filters = []
-    for s in range(slices):
-        own = hashes if slices == 1 else hashes.filter(F.pmod(F.col(name), F.lit(slices)) == s)
-        merged = (
-            own.mapInArrow(_partial(bits, probes), "seg int, once binary, more binary")
-            .groupBy("seg")
-            .applyInArrow(_merge(seg_bits), "seg int, bits binary")
-        )
-        packed = np.zeros(bits // 8, np.uint8)
-        for row in merged.toLocalIterator():  # bounded by filter_mb
-            packed[row.seg * seg_bits // 8 : (row.seg + 1) * seg_bits // 8] = np.frombuffer(row.bits, np.uint8)
-        filters.append(spark.sparkContext.broadcast(packed))
+    merged = (
+        hashes.mapInArrow(_partial(bits, probes), "seg int, once binary, more binary")
+        .groupBy("seg")
+        .applyInArrow(_merge(seg_bits, least), "seg int, bits binary")
+    )
+    packed = np.zeros(bits // 8, np.uint8)
+    for row in merged.collect():  # filter_mb at most; a local iterator would be a job for every partition
+        packed[row.seg * seg_bits // 8 : (row.seg + 1) * seg_bits // 8] = np.frombuffer(row.bits, np.uint8)
+    held = spark.sparkContext.broadcast(packed)
+
+    @F.arrow_udf("boolean")
+    def maybe(h: pa.Array) -> pa.Array:
+        p = positions(h.to_numpy(zero_copy_only=False), bits, probes)
+        return pa.array(((held.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).all(axis=1))
 
-    def tester(s: int):
-        held = filters[s]
+    return maybe, held
 
-        @F.arrow_udf("boolean")
-        def maybe(h: pa.Array) -> pa.Array:
-            p = positions(h.to_numpy(zero_copy_only=False), bits, probes)
-            return pa.array(((held.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).all(axis=1))
 
-        return maybe
+def possible_repeats(hashes: DataFrame, rows: int, filter_mb: int = 64):
+    """A function from a column of hashes to a boolean column: may this hash occur twice?
 
-    testers = [tester(s) for s in range(slices)]
+    ``hashes`` has one BIGINT column. ``rows`` sizes the filter; a wrong number, or one
+    beyond what ``filter_mb`` can tell apart, costs false passes, never a missed repeat.
+    """
+    return _filter(hashes, rows, filter_mb, 2)[0]
 
-    def repeated(h: Column) -> Column:
-        out = testers[-1](h)
-        for s in range(slices - 1):
-            out = F.when(F.pmod(h, F.lit(slices)) == s, testers[s](h)).otherwise(out)
-        return out
 
-    return repeated
+def members(hashes: DataFrame, rows: int, filter_mb: int = 16):
+    """A function as of :func:`possible_repeats`, for the question whether a hash may be among ``hashes``, and
+    the broadcast to release after use."""
+    return _filter(hashes, rows, filter_mb, 1)
 
 
 def text_digest(text_col: str = "text") -> Column:
@@ -187,6 +187,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(docs.sparkSession, "dedup")
     hashes = scratch.save(docs.select(F.xxhash64(text_digest(text_col)).alias("h")), "hashes")
     repeated = possible_repeats(hashes, hashes.count(), filter_mb)
+    scratch.drop("hashes")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     tested = docs.select(
         row.alias("row"), F.char_length(text_or_empty(text_col)).alias("n"), text_digest(text_col).alias("sha")

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,15 +19,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
 
 
+#: Whether the shuffle files of a finished query go at once.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Folders made here, by application.
 _OWN: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a
-    temporary one of the driver's where the session names none (local runs)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where a local session
+    names none, a temporary one; on a cluster executors could not read that, so it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="textsluice-")
@@ -31,12 +40,28 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Batches) -> Batches:
+    """``run``, giving freed memory back to the system at the end of a task: workers live on for other stages."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return wrapped
+
+
 class Scratch:
     """Tables and files of one operator call, under the shared folder.
 
     ``save`` writes a frame as Parquet and reads it back, which cuts lineage at a
-    copy that any executor can read again. ``drop`` frees a table early; what is
-    left goes when the driver ends.
+    copy that any executor can read again; the shuffle files behind it are removed.
+    ``drop`` frees a table early; what is left goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
@@ -46,13 +71,18 @@ class Scratch:
         atexit.register(self._remove, self.path)
 
     def save(self, df: DataFrame, table: str) -> DataFrame:
-        path = f"{self.path}/{table}"
+        path, conf = f"{self.path}/{table}", self.spark.conf
         self.tables.add(table)
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        before = conf.get(CLEANUP, "false")
+        conf.set(CLEANUP, "true")  # the copy replaces them
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def free(self) -> None:
-        """Lets the driver notice that shuffles of tables saved before are out of use, so that their files go."""
+        """Lets the driver notice which joins' broadcasts are out of use, so that the executors drop them."""
         gc.collect()
         self.spark._jvm.System.gc()
 

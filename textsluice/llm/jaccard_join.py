@@ -31,7 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textsluice.llm.common import Scratch
+from textsluice.llm.bloom_dedup import members
+from textsluice.llm.common import Scratch, tidy
 from textsluice.llm.components import components
 from textsluice.llm.tokens import chunks
 
@@ -40,11 +41,15 @@ WORDS = 5
 ORDER_FROM, PAIRS_FROM, TRIPLES_FROM = 3, 32, 2048
 #: How many shingles with their frequencies are broadcast at most (12 bytes each).
 FREQUENT = 2_000_000
-#: Sets smaller than this are indexed by single shingles only.
-SMALL = 64
-FLUSH = 4_000_000
-#: Bits of a set's parity map.
-MAP_BITS = 1024
+FLUSH = 2_000_000
+#: Bits of the smallest parity map; larger sets have larger ones.
+MAP_BITS = 512
+#: Rows of one signature in a batch from which it is listed by batch, with two rows a stretch for the list of all.
+HOT = 64
+#: Nodes of a signature that are compared with each other, or with so many more, in one go.
+BLOCK = 2048
+#: Partners of a node that are verified in one go.
+PARTNERS = 32
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -153,7 +158,7 @@ def frequent_shingles(docs: DataFrame, text_col: str, scratch: Scratch) -> tuple
     bits = min(20, max(6, (rows // 2048).bit_length()))
     found = scratch.save(
         docs.select(F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(_count(bits), "bucket int, prints binary, n binary")
+        .mapInArrow(tidy(_count(bits)), "bucket int, prints binary, n binary")
         .groupBy("bucket")
         .applyInArrow(_frequent, "print long, df long"),
         "frequent",
@@ -177,7 +182,9 @@ def size_bucket(n: int) -> int:
     return (n.bit_length() - 1) // 2
 
 
-def signatures(s: np.ndarray, prints: np.ndarray, df: np.ndarray, percent: int) -> np.ndarray:
+def signatures(
+    s: np.ndarray, prints: np.ndarray, df: np.ndarray, percent: int, pairs_from: int = PAIRS_FROM, triples_from: int = TRIPLES_FROM
+) -> np.ndarray:
     """Signatures of a set: any two sets that link have one in common."""
     need = may_differ(len(s), percent) + 1
     own = s >> np.uint64(24)
@@ -195,18 +202,20 @@ def signatures(s: np.ndarray, prints: np.ndarray, df: np.ndarray, percent: int)
     rest, out = need - len(rare), [rare]
     least = -(-percent * len(s) // 100)
     for b in range(size_bucket(least), size_bucket(len(s)) + 1):  # all that a smaller partner can lie in
+        # pigeonhole: 0.3 * 4**b sub-classes without a pair and 0.2 * 4**b without a triple hold 0.7 * 4**b shingles at most,
+        # fewer than the 4**b or more in common; below 4 of them no pair is certain
         tag = np.array([b + 1], np.uint64) * _ODD[4]
-        small = 4**b < SMALL
         deal = _mix(freq ^ _ODD[3])
-        pair_class, triple_class = ([] if small else (deal % np.uint64(int(x * 4**b))).tolist() for x in (0.3, 0.2))
+        pairs, triples = max(1, int(0.3 * 4**b)), int(0.2 * 4**b)
+        pair_class, triple_class = (deal % np.uint64(pairs)).tolist(), (deal % np.uint64(max(1, triples))).tolist()
         groups: dict[tuple[int, int], list[int]] = {}
         singles, tagged, left = [], [], rest
         for i, c in enumerate(count.tolist()):
-            if c < PAIRS_FROM or small:
-                (singles if c < PAIRS_FROM else tagged).append(i)
+            if c < pairs_from or b == 0:
+                (singles if c < pairs_from else tagged).append(i)
                 left -= 1
             else:
-                k = 3 if c >= TRIPLES_FROM else 2
+                k = 3 if c >= triples_from and triples else 2
                 group = groups.setdefault((k, triple_class[i] if k == 3 else pair_class[i]), [])
                 group.append(i)
                 left -= len(group) >= k
@@ -222,6 +231,29 @@ def signatures(s: np.ndarray, prints: np.ndarray, df: np.ndarray, percent: int)
     return np.unique(np.concatenate(out))
 
 
+def parity_map(s: np.ndarray) -> bytes:
+    """One bit for each remainder of shingles modulo the map's size: whether their number is odd. A set of n has a
+    power of two of bits from n on; the halves of a map, xored, are the map of half the size."""
+    bits = max(MAP_BITS, 1 << max(0, len(s) - 1).bit_length())
+    flips = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(bool)).tobytes()
+
+
+def _fold(maps: np.ndarray, words: int) -> np.ndarray:
+    while maps.shape[1] > words:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
+def _may_link(x: np.ndarray, y: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether parity maps allow a link of sets with ``n`` shingles together. A shingle flips one bit of its
+    set's map, so the bits that differ are at most as many as the shingles that do: no link is lost."""
+    words = min(x.shape[1], y.shape[1])
+    differ = np.bitwise_count(_fold(x, words) ^ _fold(y, words)).sum(axis=1).astype(np.int64)
+    return (100 + percent) * differ <= (100 - percent) * n
+
+
 def _spine(held, percent: int):
     def spine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints, df = held.value
@@ -239,27 +271,51 @@ def _spine(held, percent: int):
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.array(both[:, 0]),
                         pa.array(both[:, 1]),
-                        pa.array([signatures(s, prints, df, percent).tobytes() if len(s) else b"" for s in sets], pa.binary()),
+                        pa.array([signatures(s, prints, df, percent, PAIRS_FROM, TRIPLES_FROM).tobytes() if len(s) else b"" for s in sets], pa.binary()),
+                        pa.array([parity_map(s) if len(s) else b"" for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "print", "rid", "n", "hi", "lo", "sigs"],
+                    names=["doc_id", "print", "rid", "n", "hi", "lo", "sigs", "map"],
                 )
                 rid += len(part)
 
     return spine
 
 
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sigs = [np.frombuffer(x, "<i8") for x in batch.column("sigs").to_pylist()]
-        many = [len(x) for x in sigs]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([*sigs, np.zeros(0, "<i8")])),
-                pa.array(np.repeat(batch.column("node").to_numpy(), many)),
-                pa.array(np.repeat(batch.column("n").to_numpy(), many), pa.int32()),
-            ],
-            names=["sig", "node", "n"],
-        )
+def _explode(percent: int):
+    """(sig, salt, node, n) of each signature of each node. A signature that many nodes of a batch have gets a list of
+    its own there (salt other than 0); the list of all (salt 0) gets the least and the largest of each stretch of
+    near sizes, one of which any near node of another batch is near to."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            salt += 1
+            found = [np.frombuffer(x, "<i8") for x in batch.column("sigs").to_pylist()]
+            many = [len(x) for x in found]
+            sig = np.concatenate([*found, np.zeros(0, "<i8")])
+            node = np.repeat(batch.column("node").to_numpy(), many)
+            n = np.repeat(batch.column("n").to_numpy(), many).astype(np.int64)
+            salts = np.zeros(len(sig), np.int64)
+            order = np.argsort(sig, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], sig[order][1:] != sig[order][:-1]])) if len(sig) else np.zeros(0, np.int64)
+            length = np.diff(np.append(first, len(sig)))
+            ends = []
+            for at, count in zip(first[length >= HOT].tolist(), length[length >= HOT].tolist(), strict=True):
+                rows = order[at : at + count]
+                rows = rows[np.argsort(n[rows], kind="stable")]
+                salts[rows] = salt
+                i, sizes = 0, n[rows]
+                while i < count:
+                    j = int(np.searchsorted(percent * sizes, 100 * sizes[i], "right")) - 1
+                    ends += [rows[i], rows[j]] if j > i else [rows[i]]
+                    i = j + 1
+            both = np.concatenate([np.arange(len(sig)), np.array(ends, np.int64)])
+            salts = np.concatenate([salts, np.zeros(len(ends), np.int64)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(sig[both]), pa.array(salts), pa.array(node[both]), pa.array(n[both], pa.int64())], names=["sig", "salt", "node", "n"]
+            )
+
+    return explode
 
 
 def _close(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -267,102 +323,114 @@ def _close(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _lists(percent: int):
-    """Rows of signatures that two nodes or more of near sizes have, each with the node it is first
-    compared to. Rows come in order of (signature, size); a row counts if its neighbour in that order is near
-    enough. The head of a stretch is its smallest node; a size beyond its reach begins a new one. What goes
-    from batch to batch is one row and a head."""
+    """Rows of lists (of a signature and salt) that two nodes or more of near sizes have, each with the node it is
+    first compared to. Rows come in order of (signature, salt, size); a row counts if its neighbour in that order is near
+    enough, or if it has a salt. The head of a stretch is its smallest node; a size beyond its reach begins a new one.
+    What goes from batch to batch is one row and a head."""
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 3), np.int64)
+        held = np.zeros((0, 4), np.int64)
         linked = False  # whether the held row is near to the one before it
-        head = (0, 0, 0)  # signature, node, size
+        head = (0, 0, 0, 0)  # signature, salt, node, size
 
         def heads(rows: np.ndarray) -> pa.RecordBatch:
             nonlocal head
-            sig, node, size = head
+            sig, salt, node, size = head
             first = []
-            for s, x, n in zip(*rows.T.tolist(), strict=True):
-                if s != sig or 100 * size < percent * n:
-                    sig, node, size = s, x, n
+            for s, t, x, n in zip(*rows.T.tolist(), strict=True):
+                if s != sig or t != salt or 100 * size < percent * n:
+                    sig, salt, node, size = s, t, x, n
                 first.append(node)
-            head = (sig, node, size)
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (*rows.T, np.array(first, np.int64))], names=["sig", "node", "n", "first"])
+            head = (sig, salt, node, size)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (*rows.T[[0, 2, 3]], np.array(first, np.int64))], names=["sig", "node", "n", "first"])
 
         for batch in batches:
-            rows = np.concatenate([held, np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], axis=1)])
+            rows = np.concatenate([held, np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)], axis=1)])
             if len(rows) < 2:
                 held = rows
                 continue
-            near = (rows[1:, 0] == rows[:-1, 0]) & _close(rows[1:, 2], rows[:-1, 2], percent)
-            keep = near | np.concatenate([[linked], near[:-1]])
+            near = (rows[1:, :2] == rows[:-1, :2]).all(axis=1) & _close(rows[1:, 3], rows[:-1, 3], percent)
+            keep = near | np.concatenate([[linked], near[:-1]]) | (rows[:-1, 1] != 0)
             if keep.any():
                 yield heads(rows[:-1][keep])
             held, linked = rows[-1:], bool(near[-1])
-        if linked:
+        if len(held) and (linked or held[0, 1]):
             yield heads(held)
 
     return lists
 
 
-def _may_link(x: np.ndarray, y: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
-    """Whether parity maps allow a link of sets with ``n`` shingles together. A shingle flips one bit of its
-    set's map, so the bits that differ are at most as many as the shingles that do: no link is lost."""
-    differ = np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64)
-    return (100 + percent) * differ <= (100 - percent) * n
-
-
-def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Maps folded to MAP_BITS, for lists, where a node stands many times."""
     for batch in batches:
-        for at, part in chunks(batch.column("text")):
-            flips = [np.bincount((s % np.uint64(MAP_BITS)).astype(np.int64), minlength=MAP_BITS) & 1 for s in shingle_sets(part)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node").slice(at, len(part)), pa.array([np.packbits(f.astype(bool)).tobytes() for f in flips], pa.binary())], names=["node", "map"]
-            )
+        maps = [_fold(np.frombuffer(x, np.uint64).reshape(1, -1), MAP_BITS // 64).tobytes() for x in batch.column("map").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(maps, pa.binary())], names=["node", "map"])
 
 
 def _pairs(every: bool, percent: int):
-    """Pairs to verify from rows in order of (signature, size): of different components, of sizes and
-    parity maps that allow a link. Not ``every``: of the nodes of a list, only those of other components than the
-    node before. Goes on from batch to batch with those rows of the last list that can still pair."""
+    """Pairs to verify from rows in order of (signature, block, other block, size): of different components, of sizes and
+    parity maps that allow a link; of two blocks, only those across. Not ``every``: of the nodes of a block, only those of
+    other components than the node before. Goes on from batch to batch with those rows of the last list that can still pair."""
+
+    def out(found: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_maps = np.zeros((0, 4), np.int64), np.zeros((0, MAP_BITS // 64), np.uint64)
+        held, held_maps = np.zeros((0, 7), np.int64), np.zeros((0, MAP_BITS // 64), np.uint64)
         for batch in batches:
-            new = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)], axis=1)
+            new = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(7)], axis=1)
+            if not len(new):
+                continue
             rows = np.concatenate([held, new])
-            maps = np.concatenate([held_maps, np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, MAP_BITS // 64)])
+            maps = np.concatenate([held_maps, np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, MAP_BITS // 64)])
             fresh = len(held)
-            if not len(rows):
-                continue
-            sig, node, n, comp = rows.T
+            _, low, high, own, n, node, comp = rows.T
+            number = np.cumsum(np.concatenate([[False], (rows[1:, :3] != rows[:-1, :3]).any(axis=1)]))
             found = []
             i = np.arange(len(rows) - 1)
             d = 1
             while len(i):
-                i = i[(i + d < len(rows))]
-                i = i[sig[i] == sig[np.minimum(i + d, len(rows) - 1)]]
+                i = i[i + d < len(rows)]
+                i = i[number[i] == number[i + d]]
                 i = i[_close(n[i], n[i + d], percent)]  # sizes ascend: later ones are no closer
-                use = i[(comp[i] != comp[i + d]) & (i + d >= fresh)]
+                use = i[(comp[i] != comp[i + d]) & (i + d >= fresh) & ((low[i] == high[i]) | (own[i] != own[i + d]))]
                 use = use[_may_link(maps[use], maps[use + d], n[use] + n[use + d], percent)]
                 if len(use):
                     found.append(np.unique(np.stack([np.minimum(node[use], node[use + d]), np.maximum(node[use], node[use + d])], axis=1), axis=0))
                     if sum(map(len, found)) > 1_000_000:
-                        both = np.unique(np.concatenate(found), axis=0)
-                        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+                        yield out(found)
                         found = []
                 d += 1
                 if not every:
                     break
             if found:
-                both = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-            last = np.flatnonzero(sig == sig[-1])
+                yield out(found)
+            last = np.flatnonzero(number == number[-1])
             last = last[_close(n[last], n[-1:], percent)] if every else last[-1:]
             held, held_maps = rows[last], maps[last]
 
     return pairs
 
 
+def _allowed(percent: int):
+    """The pairs (a, b) whose whole parity maps allow a link."""
+
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            n = batch.column("n").to_numpy().astype(np.int64)
+            sizes = np.array([(len(p), len(q)) for p, q in zip(x, y, strict=True)], np.int64).reshape(-1, 2)
+            ok = np.zeros(len(n), bool)
+            for p, q in np.unique(sizes, axis=0).tolist():
+                at = np.flatnonzero((sizes[:, 0] == p) & (sizes[:, 1] == q))
+                own = (np.frombuffer(b"".join([z[i] for i in at.tolist()]), np.uint64).reshape(len(at), -1) for z in (x, y))
+                ok[at] = _may_link(*own, n[at], percent)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return allowed
+
+
 def _verify(percent: int):
     """Links among rows in order of (a, part, role): a row of a's own text, then its partners' texts."""
 
@@ -387,18 +455,42 @@ def _verify(percent: int):
     return verify
 
 
-def _links(pairs: DataFrame, texts: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) that link. A node with many partners is dealt into parts of about 200 of them."""
-    many = pairs.groupBy("a").agg(F.count("*").alias("partners"))
+def _links(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) that link.
+
+    Whole parity maps decide most pairs; only for the rest are texts fetched, each once, and only rows that a filter of
+    the wanted ones lets through are shuffled. A node with many partners is dealt into parts of about PARTNERS of them.
+    """
+    first = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("map").alias("x"))
+    second = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("map").alias("y"))
+    left = scratch.save(
+        pairs.join(first, "a").join(second, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "x", "y").mapInArrow(_allowed(percent), "a long, b long"),
+        f"{name}-left",
+    )
+    many = left.groupBy("a").agg(F.count("*").alias("partners"))
     dealt = scratch.save(
-        pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("partners") / 200)).cast("int").alias("part")), f"{name}-pairs"
+        left.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("partners") / PARTNERS)).cast("int").alias("part")), f"{name}-pairs"
+    )
+    wanted = scratch.save(
+        dealt.select(F.col("a").alias("node")).union(dealt.select("b")).distinct().join(nodes, "node").select("node", F.col("doc_id").alias("d"), F.col("print").alias("p")),
+        f"{name}-wanted",
+    )
+    asked, filter_ = members(wanted.select(F.xxhash64("d", "p").alias("h")), wanted.count())
+    texts = scratch.save(
+        rows.filter(asked(F.xxhash64("doc_id", "print")))
+        .join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")))
+        .groupBy("node")
+        .agg(F.min("text").alias("text")),
+        f"{name}-texts",
     )
+    filter_.destroy()
     partners = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "part", F.lit(1).alias("role"), "b", "text")
     owners = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("node", "a"), "a")
-    rows = owners.select("a", "part", F.lit(0).alias("role"), F.col("a").alias("b"), "text").unionByName(partners)
+    both = owners.select("a", "part", F.lit(0).alias("role"), F.col("a").alias("b"), "text").unionByName(partners)
     links = scratch.save(
-        rows.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(_verify(percent), "a long, b long"), f"{name}-links"
+        both.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(tidy(_verify(percent)), "a long, b long"), f"{name}-links"
     )
+    scratch.drop(*(f"{name}-{x}" for x in ("left", "pairs", "wanted", "texts")))
     scratch.free()
     return links
 
@@ -414,55 +506,63 @@ def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     held = spark.sparkContext.broadcast(frequent_shingles(docs, text_col, scratch))  # at most FREQUENT of them
-    scratch.free()
+    scratch.drop("frequent")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("print"))
     spine = scratch.save(
-        rows.mapInArrow(_spine(held, percent), "doc_id long, print long, rid long, n int, hi long, lo long, sigs binary"), "spine"
+        rows.mapInArrow(tidy(_spine(held, percent)), "doc_id long, print long, rid long, n int, hi long, lo long, sigs binary, map binary"), "spine"
     )
+    held.destroy()
+    scratch.free()
     some = spine.filter("n > 0")
-    first = F.min(F.struct("rid", "doc_id", "print")).alias("f")
-    nodes = scratch.save(
-        some.groupBy("hi", "lo").agg(first, F.min("doc_id").alias("least"), F.min("n").alias("n")).select(
-            "hi", "lo", F.col("f.rid").alias("node"), F.col("f.doc_id").alias("doc_id"), F.col("f.print").alias("print"), "least", "n"
-        ),
-        "nodes",
+    equal = scratch.save(
+        some.groupBy("hi", "lo").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("rows")), "equal"
     )
+    # only rows that may have an equal are shuffled to find the first of each
+    several = equal.filter("rows > 1")
+    repeated, filter_ = members(several.select(F.xxhash64("hi", "lo").alias("h")), several.count())
+    marked = some.withColumn("repeated", repeated(F.xxhash64("hi", "lo")))
+    one = marked.filter("not repeated").unionByName(marked.filter("repeated").join(equal.select(F.col("node").alias("rid")), "rid", "left_semi"))
     lists = scratch.save(
-        some.join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi")
-        .select(F.col("rid").alias("node"), "n", "sigs")
-        .mapInArrow(_explode, "sig long, node long, n int")
-        .repartition("sig")
-        .sortWithinPartitions("sig", "n", "node")
-        .mapInArrow(_lists(percent), "sig long, node long, n long, first long"),
+        one.select(F.col("rid").alias("node"), "n", "sigs")
+        .mapInArrow(tidy(_explode(percent)), "sig long, salt long, node long, n long")
+        .repartition("sig", "salt")
+        .sortWithinPartitions("sig", "salt", "n", "node")
+        .mapInArrow(tidy(_lists(percent)), "sig long, node long, n long, first long"),
         "lists",
     )
-    scratch.free()
-    stars = scratch.save(lists.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    wanted = nodes.join(lists.select("node").distinct(), "node").select("node", F.col("doc_id").alias("d"), F.col("print").alias("p"))
-    texts = scratch.save(
-        rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p"))).select("node", "text"), "texts"
+    nodes = scratch.save(
+        one.withColumnRenamed("rid", "node").join(lists.select("node").distinct(), "node", "left_semi").select("node", "n", "doc_id", "print", "map"), "nodes"
     )
+    filter_.destroy()
     scratch.free()
-    maps = scratch.save(texts.mapInArrow(_maps, "node long, map binary"), "maps")
-    links = _links(stars, texts, percent, scratch, "star")
+    stars = scratch.save(lists.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    links = _links(stars, rows, nodes, percent, scratch, "star")
+    scratch.drop("stars")
+    small = nodes.mapInArrow(_small, "node long, map binary")
     for name, every in (("chain", False), ("rest", True)):
         roots = scratch.save(components(links, scratch, f"{name}-cc"), f"{name}-roots")
         placed = lists.select("sig", "node", "n").join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"))
-        mixed = placed.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("sig")
+        mixed = placed.groupBy("sig").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.count("*").alias("rows")).filter("p <> q")
+        blocks = F.ceil(F.col("rows") / BLOCK).cast("long")
+        dealt = placed.join(mixed.select("sig", blocks.alias("blocks")), "sig").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        other = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1) if every else F.array("own")
         pairs = scratch.save(
-            placed.join(mixed, "sig", "left_semi")
-            .join(maps, "node")
-            .select("sig", "node", "n", "root", "map")
-            .repartition("sig")
-            .sortWithinPartitions("sig", "n", F.xxhash64("node", "sig"))
-            .mapInArrow(_pairs(every, percent), "a long, b long")
+            dealt.select("sig", "own", "n", "node", "root", F.explode(other).alias("other"))
+            .select("sig", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "n", "node", "root")
+            .join(small, "node")
+            .select("sig", "low", "high", "own", "n", "node", "root", "map")
+            .repartition("sig", "low", "high")
+            .sortWithinPartitions("sig", "low", "high", "n", F.xxhash64("node", "sig"))
+            .mapInArrow(tidy(_pairs(every, percent)), "a long, b long")
             .distinct(),
             f"{name}-found",
         )
-        links = scratch.save(links.unionByName(_links(pairs, texts, percent, scratch, name)), f"{name}-all")
+        links = scratch.save(links.unionByName(_links(pairs, rows, nodes, percent, scratch, name)), f"{name}-all")
+        scratch.drop(f"{name}-found")
+    scratch.drop("lists", "nodes")
     roots = components(links, scratch, "last-cc")
     placed = scratch.save(
-        nodes.join(roots, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("root"), "least"), "placed"
+        equal.join(roots, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("root"), "least"), "placed"
     )
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = scratch.save(placed.join(names, "root").select("hi", "lo", "component_id"), "named")

@@ -24,6 +24,8 @@ from textsluice.llm.tokens import chunks
 HALF = 4096
 DIM = 2 * HALF
 UNKNOWN = "und"
+#: Texts whose dense vectors are held at a time: short ones come many to a batch.
+ROWS = 256
 
 _KEEP = np.full(256, 32, np.uint8)
 _KEEP[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -67,8 +69,11 @@ class Model:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         names, scores, rejected = [], [], []
         known = has_letter(texts)
-        for at, part in chunks(texts, 1_000_000):
-            x = np.stack(list(counts(part))) * self.idf
+        few = ((at + i, part.slice(i, ROWS)) for at, part in chunks(texts, 1_000_000) for i in range(0, len(part), ROWS))
+        for at, part in few:
+            x = np.empty((len(part), DIM), np.float32)
+            for i, row in enumerate(counts(part)):
+                np.multiply(row, self.idf, out=x[i])
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
             cos = x @ self.centroids
             best = cos.argmax(axis=1)
@@ -188,5 +193,5 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
 
 def id_bucket(id_col: str, buckets: int) -> Column:
-    """crc32 of the id as text, modulo ``buckets``."""
+    """crc32 of the id as text, modulo ``buckets``; null for a null id, which then is in no training set."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % buckets

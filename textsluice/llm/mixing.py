@@ -47,9 +47,10 @@ def water_fill(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epoch
     )
 
 
-def seeded_order(id_col: str, seed: str) -> Column:
-    """Hexadecimal digits that order documents at random, the same in every run."""
-    return F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string"))), 1, DIGITS)
+def seeded_order(id_col: str, seed: str, text_col: str) -> Column:
+    """Hexadecimal digits that order documents at random, the same in every run; rows without an id go by their text."""
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("|"), F.xxhash64(text_col).cast("string")))
+    return F.substring(F.md5(F.concat_ws("|", F.lit(seed), name)), 1, DIGITS)
 
 
 def _cells(spine: DataFrame, weights: tuple[int, ...], max_epochs: int, scratch: Scratch) -> DataFrame:
@@ -111,7 +112,7 @@ def _spine(docs: DataFrame, seed: str, id_col: str, text_col: str, source_col: s
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         word_count(text_col).alias("size"),
-        seeded_order(id_col, seed).alias("key"),
+        seeded_order(id_col, seed, text_col).alias("key"),
         *more,
     )
 
@@ -131,7 +132,7 @@ def mix_plan(
     target by half of one document at most: in seeded order, a document gets one
     more repetition if its middle lies before the fractional part of the target.
     Null text has size 0; rows that share an id fall together and are taken in one
-    order; no rows give none.
+    order; no rows give none; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     spine = scratch.save(_spine(docs, seed, id_col, text_col, source_col), "spine")
@@ -159,6 +160,7 @@ def mix(
     """``docs`` with each row as often as :func:`mix_plan` takes it; all columns stay, texts are not shuffled."""
     scratch = Scratch(docs.sparkSession, "mix")
     cells = _cells(scratch.save(_spine(docs, seed, id_col, text_col, source_col), "spine"), weights, max_epochs, scratch)
+    scratch.keep("cells")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     taken = _repeats(_spine(docs, seed, id_col, text_col, source_col, row), cells, max_epochs).filter("repeats > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats").cast("long"))).alias("turn")).select("row.*")

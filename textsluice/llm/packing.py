@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textsluice.llm.common import Scratch
-from textsluice.llm.tokens import chunks, default_tokenizer, encoder
+from textsluice.llm.common import Scratch, tidy
+from textsluice.llm.tokens import CHUNK_BYTES, chunks, default_tokenizer, encoder
 
 SHIFT = 16
 
@@ -91,7 +91,7 @@ def _encode(tokenizer: str):
         narrow = "<u2" if words.tokenizer.get_vocab_size() <= 65_536 else "<u4"
         for batch in batches:
             docs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at, texts in chunks(batch.column(2)):
+            for at, texts in chunks(batch.column(2), CHUNK_BYTES // 2):
                 ids, lengths = words.encode(texts)
                 data, cut, before = ids.astype(narrow), np.cumsum(lengths), []
                 for s, n in zip(sources[at : at + len(texts)], lengths.tolist(), strict=True):
@@ -159,14 +159,14 @@ def pack(
     scratch = Scratch(spark, "pack")
     tokens = scratch.save(
         docs.select(F.col(id_col).cast("long"), F.col(source_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(
-            _encode(tokenizer or default_tokenizer()), "doc_id long, source string, part int, ahead long, n long, ids binary"
+            tidy(_encode(tokenizer or default_tokenizer())), "doc_id long, source string, part int, ahead long, n long, ids binary"
         ),
         "tokens",
     )
     parts = tokens.groupBy("source", "part").agg(F.sum("n").alias("words"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = scratch.save(parts.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0))), "parts")
-    totals = {r.source: r.n for r in parts.groupBy("source").agg(F.sum("words").alias("n")).toLocalIterator()}
+    totals = {r.source: r.n for r in parts.groupBy("source").agg(F.sum("words").alias("n")).collect()}
     names = sorted(totals, key=lambda s: (s is None, s or ""))
     weights = [float(totals[s]) if targets is None else float(targets.get(s, 0)) for s in names]
     schedule = Schedule([totals[s] for s in names], weights, seq_len * window_sequences)
@@ -181,7 +181,7 @@ def pack(
         tokens.join(bases, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
         .select("doc_id", "source", "number", (F.col("base") + F.col("ahead")).alias("begin"), "n", "ids")
         .mapInArrow(
-            _place(schedule, seq_len),
+            tidy(_place(schedule, seq_len)),
             "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary",
         )
     )

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 1
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 CHUNK_BYTES = 4_000_000
 
 

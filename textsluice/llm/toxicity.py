@@ -160,8 +160,9 @@ def fit(
     rate = F.when(F.col("y") == 1, min(1.0, per_class / sizes[1])).otherwise(min(1.0, per_class / sizes[0]))
     chosen = own.filter(dice < rate).withColumnRenamed(id_col, "_id")
     got = (
-        docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id"))  # at most about 2 * per_class ids
-        .select("y", F.col(text_col).cast("string").alias("text"))
+        docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text"))
+        .join(F.broadcast(chosen), F.col("i") == F.col("_id"))  # at most about 2 * per_class ids
+        .select("y", "text")
         .mapInArrow(_term_rows, "y int, terms binary")
         .collect()
     )
