@@ -1,7 +1,9 @@
 """Documents to packed token sequences: language ID, exact and near dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
-kept; all but the last return the columns of ``docs``.
+kept; all but the last return the columns of ``docs``. Texts that are null or have
+no letter go in the first stage; rows without an id, and repeated ids, pass like
+any other row; an empty table stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -62,4 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = scratch.save(stage(spark, docs, sf_dir), f"{k}-{name}")
+        scratch.keep(f"{k}-{name}")  # what the stage read is not read again
     return docs
