@@ -455,8 +455,8 @@ def _verify(percent: int):
     return verify
 
 
-def _links(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) that link.
+def _links(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame | None:
+    """The pairs (a, b) that link; None where the maps already exclude all.
 
     Whole parity maps decide most pairs; only for the rest are texts fetched, each once, and only rows that a filter of
     the wanted ones lets through are shuffled. A node with many partners is dealt into parts of about PARTNERS of them.
@@ -467,6 +467,8 @@ def _links(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, percent: int, sc
         pairs.join(first, "a").join(second, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "x", "y").mapInArrow(_allowed(percent), "a long, b long"),
         f"{name}-left",
     )
+    if left.isEmpty():
+        return None
     many = left.groupBy("a").agg(F.count("*").alias("partners"))
     dealt = scratch.save(
         left.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("partners") / PARTNERS)).cast("int").alias("part")), f"{name}-pairs"
@@ -536,11 +538,13 @@ def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     filter_.destroy()
     scratch.free()
     stars = scratch.save(lists.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = _links(stars, rows, nodes, percent, scratch, "star")
-    scratch.drop("stars")
+    found = _links(stars, rows, nodes, percent, scratch, "star")
+    links = stars.limit(0) if found is None else found
+    roots = None
     small = nodes.mapInArrow(_small, "node long, map binary")
     for name, every in (("chain", False), ("rest", True)):
-        roots = scratch.save(components(links, scratch, f"{name}-cc"), f"{name}-roots")
+        if roots is None:
+            roots = scratch.save(components(links, scratch, f"{name}-cc"), f"{name}-roots")
         placed = lists.select("sig", "node", "n").join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"))
         mixed = placed.groupBy("sig").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.count("*").alias("rows")).filter("p <> q")
         blocks = F.ceil(F.col("rows") / BLOCK).cast("long")
@@ -557,10 +561,13 @@ def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
             .distinct(),
             f"{name}-found",
         )
-        links = scratch.save(links.unionByName(_links(pairs, rows, nodes, percent, scratch, name)), f"{name}-all")
+        found = _links(pairs, rows, nodes, percent, scratch, name)
         scratch.drop(f"{name}-found")
+        if found is not None:
+            links, roots = scratch.save(links.unionByName(found), f"{name}-all"), None
     scratch.drop("lists", "nodes")
-    roots = components(links, scratch, "last-cc")
+    if roots is None:
+        roots = components(links, scratch, "last-cc")
     placed = scratch.save(
         equal.join(roots, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("root"), "least"), "placed"
     )
