@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textsluice.llm.common import Scratch, tidy
-from textsluice.llm.tokens import CHUNK_BYTES, chunks, default_tokenizer, encoder
+from textsluice.llm.tokens import CACHE_WORDS, CHUNK_BYTES, chunks, default_tokenizer, encoder
 
 SHIFT = 16
 
@@ -81,17 +81,17 @@ class Schedule:
             begin = upto
 
 
-def _encode(tokenizer: str):
+def _encode(tokenizer: str, cache_words: int, chunk_bytes: int):
     schema = pa.schema(
         [("doc_id", pa.int64()), ("source", pa.string()), ("part", pa.int32()), ("ahead", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())]
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, ahead, words = TaskContext.get().partitionId(), {}, encoder(tokenizer)
+        part, ahead, words = TaskContext.get().partitionId(), {}, encoder(tokenizer, cache_words)
         narrow = "<u2" if words.tokenizer.get_vocab_size() <= 65_536 else "<u4"
         for batch in batches:
             docs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at, texts in chunks(batch.column(2), CHUNK_BYTES // 2):
+            for at, texts in chunks(batch.column(2), chunk_bytes):
                 ids, lengths = words.encode(texts)
                 data, cut, before = ids.astype(narrow), np.cumsum(lengths), []
                 for s, n in zip(sources[at : at + len(texts)], lengths.tolist(), strict=True):
@@ -146,6 +146,8 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    cache_words: int = CACHE_WORDS,
+    chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """Pieces of all documents: doc_id, source, start, length, doc_tokens, sequence_id, offset, ids.
 
@@ -154,12 +156,13 @@ def pack(
     others. Null text is empty (the end id alone), null is a source of its own,
     rows that share an id are packed each, an empty table gives no rows. ``ids``
     are little-endian unsigned 32-bit. The driver holds two numbers per source.
+    Smaller ``cache_words`` and ``chunk_bytes`` take less memory and more time, with the same result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
     tokens = scratch.save(
         docs.select(F.col(id_col).cast("long"), F.col(source_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(
-            tidy(_encode(tokenizer or default_tokenizer())), "doc_id long, source string, part int, ahead long, n long, ids binary"
+            tidy(_encode(tokenizer or default_tokenizer(), cache_words, chunk_bytes)), "doc_id long, source string, part int, ahead long, n long, ids binary"
         ),
         "tokens",
     )

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 1
-CACHE_WORDS = 120_000
+CACHE_WORDS = 200_000
 CHUNK_BYTES = 4_000_000
 
 
@@ -58,11 +58,12 @@ class WordEncoder:
     other words go through the tokenizer one by one.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cache_words = cache_words
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # words of the time before, until met again or dropped
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
@@ -92,7 +93,7 @@ class WordEncoder:
                 begin = end
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE_WORDS:
+        if len(self.cache) > self.cache_words:
             self.older, self.cache = self.cache, {}
         cache, older, plain, other, ended = self.cache, self.older, {}, [], []
         for w in words:
@@ -150,6 +151,6 @@ class WordEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> WordEncoder:
     """The encoder of this worker process, kept with its cache from task to task."""
-    return WordEncoder(path)
+    return WordEncoder(path, cache_words)
