@@ -42,7 +42,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the token ids of all documents into sequences of 2048."""
-    return pack(docs).withColumn("ids_crc32", F.crc32("ids"))
+    # the stages before it share its executors: less memory, some more time
+    return pack(docs, cache_words=120_000, chunk_bytes=2_000_000).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [
