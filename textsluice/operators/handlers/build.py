@@ -127,7 +127,7 @@ def make(text: str, sub: str) -> str:
         return "[make: nothing to be done]"
     if where(lines, r"(?i)\berror\b|\*\*\*"):
         return join(lines, text)
-    compiler = r"^\s*(?:g?cc|g\+\+|c\+\+|clang(?:\+\+)?|ar|ld|\[\d+/\d+\])\b|^\s*(?:CC|CXX|LD|AR)\s"
+    compiler = r"^\s*(?:(?:g?cc|g\+\+|c\+\+|clang(?:\+\+)?|ar|ld)(?:\s|$)|\[\d+/\d+\]\s|(?:CC|CXX|LD|AR)\s)"
     compiled = where(lines, compiler)
     notes = where(lines, r"(?i)warning|note:")
     return join([*notes, *compiled[-5:], f"[make: complete — {len(compiled)} file(s) compiled]"] if compiled else lines, text)
