@@ -251,10 +251,10 @@ def utc_day(seconds: Column | str) -> Column:
     return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(_c(seconds) / 86_400).cast("int")).cast("string")
 
 
-def clean_intent(text: Column | str, most: int) -> Column:
+def clean_intent(text: Column | str, most: Column | int) -> Column:
     """First sentence of a message without markup, cut at ``most`` characters."""
     bare = trim(F.translate(_c(text), "*`#>", ""))
-    return trim(F.regexp_extract(F.substring(bare, 1, most), r"(?s)^(.*?(?:[.!?\n]|\z))", 1))
+    return trim(F.regexp_extract(F.substring(bare, F.lit(1), most if isinstance(most, Column) else F.lit(most)), r"(?s)^([^.!?]*[.!?]?)", 1))
 
 
 #: Role rules of file paths, first match wins. Fixed values.

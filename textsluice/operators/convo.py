@@ -131,6 +131,17 @@ def stale_flags(messages: DataFrame) -> DataFrame:
     )
 
 
+def recent_intent(messages: DataFrame, newest: int = 3) -> DataFrame:
+    """conv_id and intent: the first sentences of the newest assistant messages, newest first, at most 200, 150 and
+    100 characters of each. Only the ``newest`` messages of a conversation are gathered."""
+    said = messages.filter("role = 'assistant'").withColumn("text", T.trim("text")).filter("text <> ''")
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").desc()))
+    limit = F.when(F.col("n") == 1, 200).when(F.col("n") == 2, 150).otherwise(100)
+    top = said.withColumn("n", n).filter(F.col("n") <= newest).select("conv_id", "n", T.clean_intent("text", limit).alias("s"))
+    ordered = F.array_sort(F.collect_list(F.struct("n", "s")))
+    return top.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["s"]), " | ").alias("intent"))
+
+
 def savings(before: DataFrame, text: str = "text", compressed: str = "compressed") -> DataFrame:
     a, b = T.token_estimate(text), T.token_estimate(compressed)
     return before.groupBy("conv_id").agg(F.sum(a).alias("tokens_in"), F.sum(b).alias("tokens_out"))

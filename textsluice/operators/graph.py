@@ -74,6 +74,19 @@ def hybrid_rank(ranked: DataFrame, query: str, k: int, file: str = "file", signa
     return first.withColumn("lexical", lexical).withColumn("final", 0.40 * F.col("base") + 0.60 * F.col("lexical")).orderBy(F.col("final").desc(), file).limit(k)
 
 
+def prompt_blend(prompt: Column, intent: Column) -> Column:
+    """The prompt's embedding with the recent intent's; the prompt's alone where there is no intent."""
+    mixed = F.zip_with(prompt, intent, lambda p, i: 0.4 * p.cast("double") + 0.6 * i.cast("double"))
+    return F.coalesce(mixed, F.transform(prompt, lambda p: p.cast("double")))
+
+
+def topic_skipped(prompt: Column, last: Column, files: Column) -> Column:
+    """Whether guidance is left out: the topic is that of the prompts before, or the repository is small."""
+    from textsluice.functions.vectors import cosine
+
+    return F.coalesce(cosine(prompt, last) > 0.85, F.lit(False)) | (files < 25)
+
+
 def guidance(ranked: DataFrame, file: str = "file", most: int = 6) -> DataFrame:
     """One text that names the best files."""
     top = ranked.orderBy(F.col("final").desc(), file).limit(most)

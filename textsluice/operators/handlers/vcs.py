@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 from textsluice.operators.handlers.base import cap, columns, first, full, handler, join, last, rust_lines, where, without
 
@@ -36,36 +37,57 @@ def git_log(text: str) -> str:
     return join(out + ([f"[+{len(lines) - 50} more commits]"] if len(lines) > 50 else []), text)
 
 
-def git_diff(text: str) -> str:
-    """Per file its header with ``[+a -r]``; hunks and all files together are capped, context is two lines a side."""
-    out: list[str] = []
-    total, head, added, removed, hunk = 0, -1, 0, 0, 0
+def _diff_kind(line: str) -> str:
+    if line.startswith("diff --git "):
+        return "file"
+    if line.startswith(("index ", "--- ", "+++ ", "\\ No newline")):
+        return ""
+    return "hunk" if line.startswith("@@") else {"+": "change", "-": "change", " ": "context"}.get(line[:1], "")
 
-    def close() -> None:
-        if head >= 0:
-            out[head] += f" [+{added} -{removed} ~{min(added, removed)}]"
 
-    lines = rust_lines(text)
-    changed = [x[:1] in "+-" and x[:1] != "" and not x.startswith(("+++", "---")) for x in lines]
-    for i, x in enumerate(lines):
-        if x.startswith("diff --git"):
-            close()
-            out.append(re.sub(r"^diff --git a/(\S+) b/.*$", r"\1", x))
-            head, added, removed, hunk = len(out) - 1, 0, 0, 0
-        elif x.startswith(("index ", "--- ", "+++ ")):
+def _tally(lines: list[str]) -> tuple[int, int, int]:
+    """(added, removed, modified) of a run of changes: lines of equal place are one modified line from half common words on."""
+    old, new = ([set(x[1:].split()) for x in lines if x[0] == c] for c in "-+")
+    alike = sum(not (a | b) or len(a & b) >= 0.5 * len(a | b) for a, b in zip(old, new, strict=False))
+    return len(new) - alike, len(old) - alike, alike
+
+
+def git_diff(text: str) -> str:
+    """Files with ``[+a -r ~m]``, their changes and two lines of context on either side of each run. A hunk shows 20
+    lines, all together 60; beyond these only files and their tallies follow."""
+    rows = [(k, x) for k, x in ((_diff_kind(x), x) for x in rust_lines(text)) if k]
+    runs = [(k, [x for _, x in own]) for k, own in groupby(rows, key=lambda r: r[0])]
+    out: list[str] = []
+    total = hunk = 0
+    counts: dict[int, list[int]] = {}
+    for at, (kind, own) in enumerate(runs):
+        if kind == "file":
+            names = [x.split()[-1].removeprefix("b/") for x in own]
+            out += names
+            counts[len(out) - 1] = [0, 0, 0]
+            total, hunk = total + len(names) * (total < GIT_DIFF_TOTAL), 0
             continue
-        elif x.startswith("@@"):
+        if kind == "change" and counts:
+            last_file = max(counts)
+            counts[last_file] = [a + b for a, b in zip(counts[last_file], _tally(own), strict=True)]
+        if kind == "hunk":
             hunk = 0
-            if total < GIT_DIFF_TOTAL:
-                out.append("@@ " + x.split("@@", 2)[-1].strip())
+            shown = ["@@ " + x.split("@@", 2)[-1].strip() for x in own]
+        elif kind == "context":
+            before_change = at + 1 < len(runs) and runs[at + 1][0] == "change"
+            shown = [x for i, x in enumerate(own) if i < GIT_DIFF_CONTEXT or (before_change and i >= len(own) - GIT_DIFF_CONTEXT)]
         else:
-            added, removed = added + (changed[i] and x[0] == "+"), removed + (changed[i] and x[0] == "-")
-            near = changed[i] or any(changed[max(0, i - GIT_DIFF_CONTEXT) : i + GIT_DIFF_CONTEXT + 1])
-            if near and total < GIT_DIFF_TOTAL and hunk <= GIT_DIFF_HUNK:
-                out.append(x[:GIT_DIFF_WIDTH] if hunk < GIT_DIFF_HUNK else "[... hunk cut ...]")
-                total, hunk = total + 1, hunk + 1
-    close()
-    return join(out + (["[... diff cut ...]"] if total >= GIT_DIFF_TOTAL else []), text)
+            shown = [x if len(x) <= GIT_DIFF_WIDTH else x[: GIT_DIFF_WIDTH - 1] + "…" for x in own]
+        for x in shown:
+            if total >= GIT_DIFF_TOTAL or hunk > GIT_DIFF_HUNK:
+                break
+            full_hunk = kind == "change" and hunk >= GIT_DIFF_HUNK
+            out.append("  [...truncated...]" if full_hunk else x)
+            total, hunk = total + 1, GIT_DIFF_HUNK + 1 if full_hunk else min(hunk + (kind != "hunk"), GIT_DIFF_HUNK)
+    for at, tally in counts.items():
+        parts = [f"{sign}{n}" for sign, n in zip("+-~", tally, strict=True) if n]
+        out[at] += f" [{' '.join(parts)}]" if parts else ""
+    return join(out + (["[... diff truncated — run `git diff` for full output]"] if total >= GIT_DIFF_TOTAL else []), text)
 
 
 def git_push(text: str) -> str:

@@ -723,7 +723,12 @@ def convo_cumulative_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.cumulative_tokens(messages(spark, sf_dir), T.token_estimate("text")).select("conv_id", "turn", "context", "cumulative")
 
 
-@query()
+@query(
+    r"""with k as (select conv_id, turn, lower(text) as low from conversations), n as (select conv_id, turn, case when regexp_matches(low, '\b(edited|applied|wrote|updated) \S*|\+\+\+ ') then 'edit'
+  when regexp_matches(low, '(?m)^(diff --git|@@ )') then 'diff' when regexp_matches(low, '\b(error|failed|passed|compiling|build)\b') then 'build' end as kind from k
+), w as (select *, max(case when kind = 'edit' then turn end) over (partition by conv_id) as last_edit, max(turn) over (partition by conv_id, kind) as later from n)
+select conv_id, turn, kind, coalesce(kind in ('build', 'diff') and (turn < last_edit or turn < later), false) as stale from w"""
+)
 def convo_stale_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.stale_flags(messages(spark, sf_dir)).select("conv_id", "turn", "kind", "stale")
 
@@ -1029,7 +1034,23 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+#: What the words of the query find in each document: signatures, path, and beginnings of words of four bytes or more.
+_ASKED = ("the", "and", "doc1", "that")
+_CAMEL = r"regexp_replace(regexp_replace(w, '(\p{Ll})(\p{Lu})', '\1' || chr(1) || '\2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1' || chr(1) || '\2', 'g')"
+_FOUND = " + ".join(
+    f"case when bool_or(sig and p = '{w}') then 1.0 else 0.0 end + case when bool_or(not sig and p = '{w}') then 0.8 else 0.0 end + case when {str(len(w) >= 4).lower()} and bool_or(starts_with(p, '{w}')) then 0.3 else 0.0 end"
+    for w in _ASKED
+)
+LEX = rf"""fi as (select 'src/' || source || '/doc' || doc_id || '.rs' as file, text, (doc_id * 37) % 100 / 100.0 as similarity, doc_id % 7 as c from documents
+), wo as (select file, true as sig, unnest(string_split_regex(text, '[^\p{{L}}\p{{N}}_]+')) as w from fi where text is not null union all select file, false, unnest(string_split_regex(file, '[/\\._-]')) from fi
+), pa as (select distinct file, sig, p from (select file, sig, lower(w) as p from wo where strlen(w) >= 2 union all select file, sig, lower(unnest(string_split({_CAMEL}, chr(1)))) from wo where strlen(w) >= 2) where strlen(p) >= 2
+), lx as (select file, least(1.0::double, ({_FOUND})::double / 8.4::double) as lexical from pa group by file)"""
+
+
+@query(
+    f"""with {LEX}, b as (select file, (0.7 * similarity + 0.3 * ln(1 + c) / ln(1 + max(c) over ()))::double as base from fi), t as (select * from b order by base desc, file limit 200)
+select file, round(base, 6) as base, round(lexical, 6) as lexical, round(0.4 * base + 0.6 * lexical, 6) as final from t join lx using (file) order by 0.4 * base + 0.6 * lexical desc, file limit 20"""
+)
 def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = G.hybrid_rank(G.base_rank(_files(spark, sf_dir)), "the and doc1 that", 20)
     return ranked.select("file", _r("base", 6).alias("base"), _r("lexical", 6).alias("lexical"), _r("final", 6).alias("final"))
@@ -1043,7 +1064,7 @@ def base_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.base_rank(_files(spark, sf_dir)).select("file", _r("base", 6).alias("base"))
 
 
-@query()
+@query(f"with {LEX} select file, round(lexical, 6) as score from lx")
 def lexical_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = T.lexical_score(T.query_tokens(F.lit("the and doc1 that")), T.signature_tokens("signatures"), T.path_tokens("file"))
     return _files(spark, sf_dir).select("file", _r(score, 6).alias("score"))

@@ -15,6 +15,7 @@ from pyspark.sql.types import StringType
 from textsluice.functions import text as T
 from textsluice.functions.compaction import collapse_similar, compact_json_log, compact_ndjson, compact_traces, rust_lines
 from textsluice.functions.summarise import hash_embed, entropy_budget, summarise, summarise_anchored, summarise_chunked, summarise_clusters
+from textsluice.operators.gates import untouched
 from textsluice.operators.lines import global_rule, input_ceiling, output_cap, removal_gate
 from textsluice.operators.rules import command_rules
 
@@ -83,13 +84,15 @@ def process(docs: DataFrame, config: Config = Config(), text: str = "text", comm
     """``docs`` with output, input_tokens, output_tokens, lines_in, lines_out and savings_pct."""
     asked = F.col(query) if query else F.lit(None).cast("string")
     raw = F.coalesce(F.col(text), F.lit(""))
-    first = F.array_join(F.transform(T.lines(T.strip_ansi(input_ceiling(raw, config.ceiling))), T.rtrim), "\n")
+    skip = untouched(F.col(command), raw)  # such outputs pass as they are, and no stage works on them
+    first = F.when(~skip, F.array_join(F.transform(T.lines(T.strip_ansi(input_ceiling(raw, config.ceiling))), T.rtrim), "\n"))
     # marked as not deterministic only so that Spark runs each stage once and does not inline it
     staged = docs.withColumn("_t", _structured.asNondeterministic()(first, F.col(command)))
     staged = staged.withColumn("_k", reduce_text(F.col("_t")))
     staged = staged.withColumn("_p", command_rules(F.array_join("_k", "\n"), F.col(command)))
     gate = removal_gate(F.size(T.lines(raw)), F.size(T.lines("_p")), config.gate)
     staged = staged.withColumn("output", output_cap(_semantic(config).asNondeterministic()(F.col("_p"), gate, F.col(command), asked), config.cap))
+    staged = staged.withColumn("output", F.when(skip, raw).otherwise(F.col("output")))
     tokens_in, tokens_out = T.token_estimate(raw), T.token_estimate("output")
     return (
         staged.withColumn("input_tokens", tokens_in)
