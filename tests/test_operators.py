@@ -125,7 +125,7 @@ def test_lexical_queries_score_whole_texts(spark):
     assert all(abs(r.lexical - want[r.file]) < 1e-5 for r in QUERIES["hybrid_rank"](spark, SF).collect())
 
 
-def test_hit_at_5_passages_matches_brute_force(spark):
+def test_hit_at_5_matches_brute_force(spark):
     import re
 
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
@@ -145,7 +145,7 @@ def test_hit_at_5_passages_matches_brute_force(spark):
 
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     docs = [(str(r.doc_id), r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
-    got = {r.item_id: (r.hit, r.rr) for r in QUERIES["hit_at_5_passages"](spark, SF).collect()}
+    got = {r.item_id: (r.hit, r.rr) for r in QUERIES["hit_at_5"](spark, SF).collect()}
     assert got == brute(items, docs) and 0 < sum(hit for hit, _ in got.values()) < len(got)
 
     # a long word alone is no hit; six files with more runs push the passage out of the five; short items match whole
@@ -158,7 +158,7 @@ def test_hit_at_5_passages_matches_brute_force(spark):
     assert {r.task: (r.hit, r.rr) for r in found} == {t: want[t] for t in (1, 5)} and want[1] == (False, 0.0) and want[5] == (True, 1.0)
 
 
-def test_cosine_topk_every20_matches_pairwise(spark):
+def test_cosine_topk_matches_pairwise(spark):
     from textsluice.operators import semantic as M
     from textsluice.plans.tables import vectors
 
@@ -166,14 +166,14 @@ def test_cosine_topk_every20_matches_pairwise(spark):
     asked = v.filter("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding as q")
     pairs = lambda df: sorted((r.query_id, r["rank"], r.vec_id, round(r.cosine, 4)) for r in df.collect())
     want = pairs(M.nearest(v, asked, 10))
-    assert pairs(QUERIES["cosine_topk_every20"](spark, SF)) == want and len(want) == 10 * asked.count() > 50
+    assert pairs(QUERIES["cosine_topk"](spark, SF)) == want and len(want) == 10 * asked.count() > 50
     same = spark.createDataFrame([(i, [1.0, 2.0, 0.5] if i % 3 else [float(i), 1.0]) for i in range(60)] + [(60, [0.0, 0.0]), (61, None)], "vec_id long, embedding array<float>")
     asked = same.filter("vec_id < 61").selectExpr("vec_id as query_id", "embedding as q")
     got = M.nearest_blocks(same, asked, 5, block=16, rows=20)
     assert pairs(got) == pairs(M.nearest(same.filter("embedding is not null"), asked, 5))
 
 
-def test_impact_bfs2_all_starts_from_every_file(spark):
+def test_impact_bfs2_starts_from_every_file(spark):
     from collections import Counter
 
     lists = {}
@@ -189,7 +189,7 @@ def test_impact_bfs2_all_starts_from_every_file(spark):
         one = set(near.get(r.s_suppkey, []))
         two = {c for b in one for c in near[b]} - one - {r.s_suppkey}
         want |= {(r.s_suppkey, f, 1) for f in one} | {(r.s_suppkey, f, 2) for f in two}
-    assert {tuple(r) for r in QUERIES["impact_bfs2_all"](spark, SF).collect()} == want and len({s for s, _, _ in want}) > 3
+    assert {tuple(r) for r in QUERIES["impact_bfs2"](spark, SF).collect()} == want and len({s for s, _, _ in want}) > 3
 
 
 def test_greedy_clusters(spark):

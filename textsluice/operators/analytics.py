@@ -200,7 +200,8 @@ def tokens_per_read(reads: DataFrame) -> DataFrame:
 def read_frequency(reads: DataFrame, since: int) -> DataFrame:
     """Reads per file against the most read one."""
     per = reads.filter(F.col("ts") >= since).groupBy("file").agg(F.count("*").alias("reads"))
-    return per.withColumn("frequency", F.col("reads") / F.max("reads").over(Window.partitionBy()))
+    most = per.agg(F.max("reads").alias("_most"))  # one row, so that no task reads all files
+    return per.crossJoin(F.broadcast(most)).withColumn("frequency", F.col("reads") / F.col("_most")).drop("_most")
 
 
 def focus_precision(guidance: DataFrame, reads: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from textsluice.functions import text as T
 
 MAX_FILES = 50
+#: Runs of words, some 60 bytes each, that are sent to every executor.
+BROADCAST_RUNS = 500_000
 
 
 def usable_commits(changes: DataFrame, most: int = MAX_FILES) -> DataFrame:
@@ -107,7 +109,8 @@ def passage_matches(items: DataFrame, docs: DataFrame, run: int = 3, passage: in
     """(task, file, n_runs, contains) of files that share a run of ``run`` words with an item: how many of the item's
     runs occur, and whether ``passage`` words of it stand in the file in a row (all of them where an item is shorter).
 
-    ``items``: task, text, few enough to broadcast; ``docs``: file, text. Whole texts meet in an equi-join of runs.
+    ``items``: task, text; ``docs``: file, text. Whole texts meet in an equi-join of runs; the items' runs are broadcast
+    up to BROADCAST_RUNS of them, beyond that both sides are shuffled.
     """
     words = lambda c: F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
@@ -116,12 +119,14 @@ def passage_matches(items: DataFrame, docs: DataFrame, run: int = 3, passage: in
         return F.transform(at, lambda i: F.struct(i.alias("at"), F.array_join(F.slice(w, i + 1, n), " ").alias("run")))
 
     asked = items.select("task", words(F.col("text")).alias("w")).withColumn("n", F.least(F.size("w"), F.lit(run))).filter("n > 0")
-    widths = sorted(r.n for r in asked.select("n").distinct().collect())  # 1 to ``run``, as items shorter than a run have their own
+    sizes = {r.n: r.runs for r in asked.groupBy("n").agg(F.sum(F.size("w") - F.col("n") + 1).alias("runs")).collect()}
+    widths = sorted(sizes)  # 1 to ``run``, as items shorter than a run have their own
     need = F.least(F.size("w"), F.lit(passage)) - F.col("n") + 1
     wanted = asked.select("task", need.alias("need"), F.explode(runs(F.col("w"), F.col("n"))).alias("r")).select("task", "need", F.col("r.at").alias("p"), "r.run")
     every = T.let(words(F.col("text")), lambda w: F.concat(F.array().cast("array<struct<at: int, run: string>>"), *(runs(w, F.lit(n)) for n in widths)))
     held = docs.select("file", F.explode(every).alias("r")).select("file", F.col("r.at").alias("q"), "r.run")
-    lines = held.join(F.broadcast(wanted), "run").groupBy("task", "file", "need", (F.col("q") - F.col("p")).alias("shift")).agg(F.array_sort(F.collect_set("p")).alias("ps"))
+    near = F.broadcast(wanted) if sum(sizes.values()) <= BROADCAST_RUNS else wanted
+    lines = held.join(near, "run").groupBy("task", "file", "need", (F.col("q") - F.col("p")).alias("shift")).agg(F.array_sort(F.collect_set("p")).alias("ps"))
     row = F.size(F.filter("ps", lambda x, i: F.get(F.col("ps"), i + F.col("need") - 1) == x + F.col("need") - 1)) > 0
     return lines.groupBy("task", "file").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ps")))).alias("n_runs"), F.max(row).alias("contains"))
 

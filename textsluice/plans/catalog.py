@@ -22,7 +22,7 @@ from textsluice.operators import session as S
 from textsluice.operators.handlers import handled
 from textsluice.operators.rules import DEFAULT_RULES, Rule, UserFilter, apply_rules, line_rules, should_remove, user_filter
 from textsluice.plans.pipeline import reduce_text
-from textsluice.plans.tables import CEN, DOT, ENT, LIN, NOW, REC, entries, lines, messages, records, seconds, table, vectors
+from textsluice.plans.tables import CEN, DOT, ENT, LIN, REC, entries, lines, messages, records, seconds, table, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -454,7 +454,18 @@ def jaccard_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.filter("b is not null").select("conv_id", "turn", _r(T.jaccard("text", "b")).alias("jaccard"))
 
 
-@query()
+_LINES_SQL = "case when coalesce({t}, '') = '' then []::varchar[] else list_transform(string_split(regexp_replace({t}, '\n$', ''), chr(10)), lambda x: regexp_replace(x, '\r$', '')) end"
+_WORDS_SQL = r"list_distinct(list_filter(string_split_regex({x}, '\s+'), lambda w: w <> ''))"
+_ALIKE = f"case when len(list_distinct({_WORDS_SQL.format(x='a[i]')} || {_WORDS_SQL.format(x='b[i]')})) = 0 then true else 2 * len(list_intersect({_WORDS_SQL.format(x='a[i]')}, {_WORDS_SQL.format(x='b[i]')})) >= len(list_distinct({_WORDS_SQL.format(x='a[i]')} || {_WORDS_SQL.format(x='b[i]')})) end"
+
+
+@query(
+    f"""with t as (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as before from conversations
+), l as (select conv_id, turn, {_LINES_SQL.format(t='before')} as a, {_LINES_SQL.format(t='text')} as b from t where before is not null
+), c as (select *, list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i]) as changed from l
+), m as (select *, len(list_filter(changed, lambda i: {_ALIKE})) as modified, least(len(a), len(b)) as n from c)
+select conv_id, turn, (len(changed) - modified + len(b) - n)::int as added, (len(changed) - modified + len(a) - n)::int as removed, modified::int as modified from m"""
+)
 def change_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = messages(spark, sf_dir).withColumn("b", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
     return m.filter("b is not null").select("conv_id", "turn", S.classify_change(F.col("b"), F.col("text")).alias("c")).select("conv_id", "turn", "c.*")
@@ -547,25 +558,16 @@ def config_tighten(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Vectors ---------------------------------------------------------------------------------
 
 
-def _query_vectors(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
-    return vectors(spark, sf_dir).filter(F.col("vec_id") < most).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-
-
 _COS = DOT.format(a="a.embedding", b="b.embedding") + " / (sqrt(" + DOT.format(a="a.embedding", b="a.embedding") + ") * sqrt(" + DOT.format(a="b.embedding", b="b.embedding") + "))"
 
 
 @query(
-    f"""with s as (select b.vec_id as query_id, a.vec_id, {_COS} as c from embeddings a join embeddings b on b.vec_id < 5
+    f"""with s as (select b.vec_id as query_id, a.vec_id, {_COS} as c from embeddings a join embeddings b on b.vec_id % 20 = 0
 ), r as (select *, row_number() over (partition by query_id order by c desc, vec_id) as rank from s)
 select query_id, vec_id, round(c, 4) as cosine, rank::int as rank from r where rank <= 10"""
 )
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.nearest(vectors(spark, sf_dir), _query_vectors(spark, sf_dir, 5), 10).select("query_id", "vec_id", _r("cosine").alias("cosine"), "rank")
-
-
-@query()
-def cosine_topk_every20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The search of ``cosine_topk``, whose SQL asks five vectors only, for every vec_id divisible by 20."""
+    """The ten nearest of every vec_id divisible by 20, itself included."""
     v = vectors(spark, sf_dir)
     asked = v.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return M.nearest_blocks(v, asked, 10).select("query_id", "vec_id", _r("cosine").alias("cosine"), "rank")
@@ -1006,18 +1008,12 @@ def cochange_neighbours_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {COC}, one as (select distinct file as start, other as file from nei where file in (1, 2, 3)), two as (
+    f"""with {COC}, one as (select distinct file as start, other as file from nei), two as (
   select distinct o.start, n.other as file from one o join nei n on n.file = o.file where n.other <> o.start and (o.start, n.other) not in (select (start, file) from one))
 select start, file, 1 as depth from one union all select start, file, 2 from two"""
 )
 def impact_bfs2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    starts = table(spark, sf_dir, "supplier").filter("s_suppkey in (1, 2, 3)").select(F.col("s_suppkey").alias("file"))
-    return G.impact(G.cochanges(_changes(spark, sf_dir)), starts)
-
-
-@query()
-def impact_bfs2_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``impact_bfs2``, whose SQL starts from three files only, from every file."""
+    """What every file reaches in two steps of strong edges."""
     starts = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file"))
     return G.impact(G.cochanges(_changes(spark, sf_dir)), starts)
 
@@ -1071,22 +1067,19 @@ def lexical_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with w as (select item_id, lower(regexp_extract(text, '([\\pL]{6,})', 1)) as w from benchmark), h as (
-  select w.item_id, d.doc_id, row_number() over (partition by w.item_id order by d.doc_id) as rank from w join documents d on contains(lower(d.text), w.w) where w.w <> '')
-select item_id, coalesce(bool_or(rank <= 5), false) as hit, coalesce(min(doc_id), -1) as first_doc from w left join h using (item_id) group by item_id"""
+    r"""with iw as (select item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from benchmark
+), dw as (select doc_id::varchar as file, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents
+), ik as (select item_id, 3 as most, least(3, len(w)) as k, w from iw union all select item_id, 8, least(8, len(w)), w from iw
+), ir as (select item_id, most, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as run from ik where k > 0
+), dr as (select distinct file, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as run from dw cross join (select distinct k from ik where k > 0)
+), n as (select item_id, file, count(*) as c from ir join dr using (k, run) where most = 3 group by all
+), r as (select *, row_number() over (partition by item_id order by c desc, file) as rank from n
+), x as (select distinct item_id, file from ir join dr using (k, run) where most = 8
+), b as (select item_id, min(rank) as best from r join x using (item_id, file) where rank <= 5 group by item_id)
+select iw.item_id, best is not null as hit, coalesce(1.0::double / best, 0) as rr from iw left join b using (item_id)"""
 )
 def hit_at_5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.regexp_extract("text", r"(\p{L}{6,})", 1)).alias("w"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"))
-    hits = docs.join(F.broadcast(words.filter("w <> ''")), F.col("t").contains(F.col("w")))  # a benchmark is small
-    best = hits.groupBy("item_id").agg(F.min("doc_id").alias("first_doc"))
-    return words.join(best, "item_id", "left").select("item_id", F.col("first_doc").isNotNull().alias("hit"), F.coalesce("first_doc", F.lit(-1).cast("long")).alias("first_doc"))
-
-
-@query()
-def hit_at_5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per benchmark item: documents are ranked by its runs of 3 words, the expected ones have 8 words of it in a row.
-    ``hit_at_5`` stays beside it as its SQL says: a document with the item's first long word."""
+    """Per benchmark item: documents are ranked by its runs of 3 words, the expected ones have 8 words of it in a row."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("task"), "text")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), "text")
     matches = G.passage_matches(items, docs)
@@ -1100,65 +1093,7 @@ def role_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.file_role(path)["role"].alias("role"))
 
 
-# --- Handler shapes --------------------------------------------------------------------------
-
-
-@query(
-    """with g as (select event_type as path, event_id, row_number() over (partition by event_type order by event_id) as n, count(*) over (partition by event_type) as total from events)
-select path, event_id, total from g where n <= 100"""
-)
-def grep_group_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = Window.partitionBy("path")
-    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("path"), "event_id")
-    return e.withColumn("n", F.row_number().over(by.orderBy("event_id"))).withColumn("total", F.count("*").over(by)).filter("n <= 100").drop("n")
-
-
-@query(
-    """select regexp_extract(url, '^https?://([^/]+)', 1) as host, count(*) as n, min(url) as first_url from pages group by 1"""
-)
-def find_group_by_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").groupBy(F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host")).agg(F.count("*").alias("n"), F.min("url").alias("first_url"))
-
-
-@query("select p_brand as ext, count(*) as n from part group by p_brand order by n desc, ext limit 3")
-def ls_ext_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("ext")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "ext").limit(3)
-
-
-@query("select s_name as name, s_nationkey as nation from supplier order by s_suppkey limit 30")
-def table_project_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").orderBy("s_suppkey").limit(30).select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
-
-
-@query(
-    """with g as (select l_returnflag as code, l_orderkey, l_linenumber, row_number() over (partition by l_returnflag order by l_orderkey, l_linenumber) as n, count(*) over (partition by l_returnflag) as total from lineitem)
-select code, l_orderkey, l_linenumber, total, total - 3 as more from g where n <= 3"""
-)
-def lint_group_by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("code"), "l_orderkey", "l_linenumber")
-    counts = items.groupBy("code").agg(F.count("*").alias("total"))
-    top = items.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("l_orderkey", "l_linenumber"))).filter("n <= 3").drop("n")
-    return top.join(F.broadcast(counts), "code").withColumn("more", F.col("total") - 3)  # a row per code of the three shown
-
-
-@query("select user_id, case when not bool_or(event_type = 'error') then '[no errors]' else count(*) filter (event_type = 'error') || ' errors' end as output from events group by user_id")
-def match_output_short_circuit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.count_if(F.col("event_type") == "error")
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.when(n == 0, "[no errors]").otherwise(F.concat(n.cast("string"), F.lit(" errors"))).alias("output"))
-
-
-@query("select c_custkey, 'API_TOKEN=***' as secret, 'LANG=' || c_mktsegment as plain from customer")
-def kv_redact_categorize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    secret = lambda k, v: F.concat(F.lit(f"{k}="), F.when(F.lit(k).rlike("(?i)token|secret|passw|api_?key|credential|private|auth"), "***").otherwise(v))
-    return table(spark, sf_dir, "customer").select("c_custkey", secret("API_TOKEN", F.col("c_name")).alias("secret"), secret("LANG", F.col("c_mktsegment")).alias("plain"))
-
-
-@query(
-    """with h as (select l_orderkey as hunk, l_linenumber as n, row_number() over (partition by l_orderkey order by l_linenumber) as place from lineitem) select hunk, n from h where place <= 2"""
-)
-def diff_hunk_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("hunk").orderBy("n"))
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("hunk"), F.col("l_linenumber").alias("n")).withColumn("place", place).filter("place <= 2").drop("place")
+# --- Handlers and the whole reduction (each handler has queries of its own in handler_queries) --------
 
 
 @query()
