@@ -54,8 +54,8 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Language ID, its model and the tokenizer are not expressible in SQL. The test holds run() against the stage functions by
-#: rows per doc_id only, not against an independent version.
+#: Language ID, its model and the tokenizer are not expressible in SQL. A test holds every stage and run() against a plain
+#: chain on a small table, tests/llm/test_brute_force.py.
 ORACLE_SQL = None
 
 
