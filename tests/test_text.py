@@ -91,3 +91,8 @@ def test_scalars(spark):
     assert (row.key, row.path, row.size, row.root, row.j, row.day) == ("git status", "a/.../d/e.rs", 1.5e9, "a/b/", 0.5, "1970-01-01")
     assert (row.g.path, row.g.line_no, row.g.match) == ("x.py", 12, "hit")
     assert row.parts == ["parse", "http", "response"]
+
+
+def test_days_of_five_digit_years_have_no_sign(spark):
+    assert one(spark, 253_402_300_799, T.utc_day("t"), "long") == "9999-12-31"
+    assert one(spark, 253_402_300_800, T.utc_day("t"), "long") == "10000-01-01"

@@ -247,8 +247,8 @@ def format_age(seconds: Column | str) -> Column:
 
 
 def utc_day(seconds: Column | str) -> Column:
-    """YYYY-MM-DD of unix seconds, whatever the session's time zone."""
-    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(_c(seconds) / 86_400).cast("int")).cast("string")
+    """YYYY-MM-DD of unix seconds, whatever the session's time zone; years from 10000 on without Spark's plus sign."""
+    return F.ltrim(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(_c(seconds) / 86_400).cast("int")).cast("string"), F.lit("+"))
 
 
 def clean_intent(text: Column | str, most: Column | int) -> Column:
