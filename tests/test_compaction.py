@@ -115,3 +115,9 @@ def test_some_handlers():
     assert handle("grep x", "a.py:1:x\na.py:2:x\nb.py:1:x") == "a.py: [2 matches]\n  1: x\n  2: x\nb.py: [1 matches]\n  1: x\n[3 matches in 2 files]"
     assert handle("env", "API_KEY=abc\nHOME=/root").count("***") == 1
     assert handle("pip install x", "Requirement already satisfied: x") == "[already satisfied]"
+
+
+def test_glob_shows_ten_paths_of_every_folder():
+    out = handle("(glob)", "\n".join(f"d{k}/f{i}" for k in range(8) for i in range(12))).split("\n")
+    assert [sum(x == f"  f{i}" for x in out) for i in (0, 9, 10)] == [8, 8, 0]
+    assert out.count("  ... and 2 more") == 8 and out[-1] == "[96 paths]"
