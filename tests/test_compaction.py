@@ -121,3 +121,11 @@ def test_glob_shows_ten_paths_of_every_folder():
     out = handle("(glob)", "\n".join(f"d{k}/f{i}" for k in range(8) for i in range(12))).split("\n")
     assert [sum(x == f"  f{i}" for x in out) for i in (0, 9, 10)] == [8, 8, 0]
     assert out.count("  ... and 2 more") == 8 and out[-1] == "[96 paths]"
+
+
+def test_cmake_knows_a_build_without_percent_marks():
+    noise, kept = "-- Build files written to: /b\n", "x.c:1: warning: unused\nmake: *** [all] Error 2"
+    assert handle("cmake .", noise + "gcc -c a.c\n" + kept) == kept + "\n[0 targets built]"
+    assert handle("cmake .", noise + "[1/9] Building c\n" + kept) == kept + "\n[0 targets built]"
+    configured = "CMake Error at 3\n    [1/2] Building C object\n    make: *** [all] Error 2\n-- Configuring incomplete"
+    assert handle("cmake .", configured) == "CMake Error at 3\n-- Configuring incomplete"

@@ -133,10 +133,14 @@ def make(text: str, sub: str) -> str:
     return join([*notes, *compiled[-5:], f"[make: complete — {len(compiled)} file(s) compiled]"] if compiled else lines, text)
 
 
+#: Steps and failures of a build, under make or ninja. Not indented: within a configure error they are.
+BUILD_STEP = r"^(?:\[\s*\d+%\]|\[\d+/\d+\]\s|(?:g?cc|g\+\+|c\+\+|clang(?:\+\+)?|ar|ld)\s|g?make(?:\[\d+\])?: \*\*\*)"
+
+
 @handler("cmake", "cmake3")
 def cmake(text: str, sub: str) -> str:
     lines = rust_lines(text)
-    if sub == "--build" or where(lines, r"^\[\s*\d+%\]"):
+    if sub == "--build" or where(lines, BUILD_STEP):
         built = len(where(lines, r"Built target"))
         return join(where(lines, r"(?i)\berror\b|warning:") + [f"[{built} targets built]"], text)
     return join(where(lines, r"CMake (?:Error|Warning)|written to|Configuring incomplete"), text)
