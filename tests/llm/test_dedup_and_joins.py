@@ -181,3 +181,34 @@ def test_mix(spark):
     counts = {r.doc_id: r["count"] for r in again.groupBy("doc_id").count().collect()}
     assert counts == {r.doc_id: r.repeats for r in plan if r.repeats}
     assert mix_plan(docs(spark, [])).count() == 0 and mix(docs(spark, [])).count() == 0
+
+
+def test_a_pair_of_many_lists_is_made_once(spark, monkeypatch):
+    """Nine long texts, three by three: two share passages, three share others, none link."""
+    words = lambda name, n: [f"{name}-{i}" for i in range(n)]
+    rows = []
+    for i in range(9):
+        t, k = divmod(i, 3)
+        own = [words(f"t{t}p{min(k, j)}{max(k, j)}", 200) for j in range(3) if j != k]
+        pool = [words(f"pool{(i + 2 * j) % 9}", 450) for j in range(4)]
+        rows.append((i, " ".join(w for j, x in enumerate((*own, words(f"t{t}", 800), *pool)) for w in (*x, *words(f"between{i}-{j}", 5))), "en", "s", 0))
+    made, real = spark.sparkContext.accumulator(0), J._pairs
+
+    def counting(every, percent):
+        run = real(every, percent)
+
+        def pairs(batches):
+            for batch in run(batches):
+                if every:
+                    made.add(batch.num_rows)
+                yield batch
+
+        return pairs
+
+    monkeypatch.setattr(J, "_pairs", counting)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        assert {r.component_id for r in J.near_groups(docs(spark, rows)).collect()} == set(range(9))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert made.value == 9  # three pairs of each three

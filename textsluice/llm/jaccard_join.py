@@ -50,6 +50,8 @@ HOT = 64
 BLOCK = 2048
 #: Partners of a node that are verified in one go.
 PARTNERS = 32
+#: Longest lists of a node that its rows in other lists know of, so that a pair is made in one list.
+LONGEST = 16
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -370,20 +372,29 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pairs(every: bool, percent: int):
     """Pairs to verify from rows in order of (signature, block, other block, size): of different components, of sizes and
     parity maps that allow a link; of two blocks, only those across. Not ``every``: of the nodes of a block, only those of
-    other components than the node before. Goes on from batch to batch with those rows of the last list that can still pair."""
+    other components than the node before. A pair that an earlier list has too, as far as the rows tell (``before``), is made
+    there alone. Goes on from batch to batch with those rows of the last list that can still pair."""
+
+    def earlier(lists: pa.ListArray) -> np.ndarray:
+        at = lists.offsets.to_numpy().astype(np.int64)
+        many, flat = np.diff(at), lists.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]]
+        out = np.zeros((len(lists), LONGEST), np.int64)
+        out[np.repeat(np.arange(len(lists)), many), np.arange(len(flat)) - np.repeat(at[:-1] - at[0], many)] = flat
+        return out
 
     def out(found: list[np.ndarray]) -> pa.RecordBatch:
         both = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_maps = np.zeros((0, 7), np.int64), np.zeros((0, MAP_BITS // 64), np.uint64)
+        held, held_maps, held_before = np.zeros((0, 7), np.int64), np.zeros((0, MAP_BITS // 64), np.uint64), np.zeros((0, LONGEST), np.int64)
         for batch in batches:
             new = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(7)], axis=1)
             if not len(new):
                 continue
             rows = np.concatenate([held, new])
             maps = np.concatenate([held_maps, np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, MAP_BITS // 64)])
+            before = np.concatenate([held_before, earlier(batch.column(8))])
             fresh = len(held)
             _, low, high, own, n, node, comp = rows.T
             number = np.cumsum(np.concatenate([[False], (rows[1:, :3] != rows[:-1, :3]).any(axis=1)]))
@@ -396,6 +407,11 @@ def _pairs(every: bool, percent: int):
                 i = i[_close(n[i], n[i + d], percent)]  # sizes ascend: later ones are no closer
                 use = i[(comp[i] != comp[i + d]) & (i + d >= fresh) & ((low[i] == high[i]) | (own[i] != own[i + d]))]
                 use = use[_may_link(maps[use], maps[use + d], n[use] + n[use + d], percent)]
+                x, y = before[use], before[use + d]
+                again = np.zeros(len(use), bool)
+                for k in range(LONGEST):
+                    again |= ((x[:, k : k + 1] == y) & (y != 0)).any(axis=1)
+                use = use[~again]
                 if len(use):
                     found.append(np.unique(np.stack([np.minimum(node[use], node[use + d]), np.maximum(node[use], node[use + d])], axis=1), axis=0))
                     if sum(map(len, found)) > 1_000_000:
@@ -408,7 +424,7 @@ def _pairs(every: bool, percent: int):
                 yield out(found)
             last = np.flatnonzero(number == number[-1])
             last = last[_close(n[last], n[-1:], percent)] if every else last[-1:]
-            held, held_maps = rows[last], maps[last]
+            held, held_maps, held_before = rows[last], maps[last], before[last]
 
     return pairs
 
@@ -546,15 +562,24 @@ def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
         if roots is None:
             roots = scratch.save(components(links, scratch, f"{name}-cc"), f"{name}-roots")
         placed = lists.select("sig", "node", "n").join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"))
-        mixed = placed.groupBy("sig").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.count("*").alias("rows")).filter("p <> q")
+        # of lists with the same nodes one is enough: they have the same sums of hashes
+        sums = [F.sum(F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1 << 32))).alias(f"sum{k}") for k in range(3)]
+        mixed = placed.groupBy("sig").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.count("*").alias("rows"), *sums).filter("p <> q")
+        mixed = mixed.groupBy("p", "q", "rows", "sum0", "sum1", "sum2").agg(F.min("sig").alias("sig"))
         blocks = F.ceil(F.col("rows") / BLOCK).cast("long")
-        dealt = placed.join(mixed.select("sig", blocks.alias("blocks")), "sig").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        dealt = placed.join(mixed.select("sig", "rows", blocks.alias("blocks")), "sig").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        dealt = scratch.save(dealt.withColumn("place", F.struct((-F.col("rows")).alias("rows"), "sig")), f"{name}-dealt")
+        if every:  # lists in order of length, then signature
+            longest = dealt.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("place")), 1, LONGEST).alias("longest"))
+            dealt = dealt.join(longest, "node").withColumn("before", F.transform(F.filter("longest", lambda x: x < F.col("place")), lambda x: x["sig"]))
+        else:
+            dealt = dealt.withColumn("before", F.array().cast("array<long>"))
         other = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1) if every else F.array("own")
         pairs = scratch.save(
-            dealt.select("sig", "own", "n", "node", "root", F.explode(other).alias("other"))
-            .select("sig", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "n", "node", "root")
+            dealt.select("sig", "own", "n", "node", "root", "before", F.explode(other).alias("other"))
+            .select("sig", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "n", "node", "root", "before")
             .join(small, "node")
-            .select("sig", "low", "high", "own", "n", "node", "root", "map")
+            .select("sig", "low", "high", "own", "n", "node", "root", "map", "before")
             .repartition("sig", "low", "high")
             .sortWithinPartitions("sig", "low", "high", "n", F.xxhash64("node", "sig"))
             .mapInArrow(tidy(_pairs(every, percent)), "a long, b long")
@@ -562,7 +587,7 @@ def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
             f"{name}-found",
         )
         found = _links(pairs, rows, nodes, percent, scratch, name)
-        scratch.drop(f"{name}-found")
+        scratch.drop(f"{name}-found", f"{name}-dealt")
         if found is not None:
             links, roots = scratch.save(links.unionByName(found), f"{name}-all"), None
     scratch.drop("lists", "nodes")
