@@ -64,6 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = read_table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = scratch.save(stage(spark, docs, sf_dir), f"{k}-{name}")
+        docs = scratch.save(stage(spark, docs, sf_dir), f"{k}-{name}", texts=True)
         scratch.keep(f"{k}-{name}")  # what the stage read is not read again
     return docs

@@ -102,3 +102,11 @@ def test_pack(spark):
             assert at <= 256
         assert full >= len(by_seq) - 1
     assert pack(docs(spark, [])).count() == 0
+
+
+def test_a_later_stage_lets_encoders_go():
+    from textsluice.llm import common, tokens
+
+    tokens.encoder(tokens.default_tokenizer())
+    assert list(common.tidy(iter, encodes=True)(iter([1]))) == [1] and tokens.encoder.cache_info().currsize
+    assert list(common.tidy(iter)(iter([1]))) == [1] and not tokens.encoder.cache_info().currsize

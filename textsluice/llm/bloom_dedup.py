@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textsluice.llm.common import SPACE, Scratch, text_or_empty
+from textsluice.llm.common import SPACE, Scratch, text_or_empty, tidy
 
 SEGMENTS = 64
 
@@ -93,7 +93,7 @@ def _filter(hashes: DataFrame, rows: int, filter_mb: int, least: int):
     seg_bits, probes = shape(rows, filter_mb)
     bits = seg_bits * SEGMENTS
     merged = (
-        hashes.mapInArrow(_partial(bits, probes), "seg int, once binary, more binary")
+        hashes.mapInArrow(tidy(_partial(bits, probes)), "seg int, once binary, more binary")
         .groupBy("seg")
         .applyInArrow(_merge(seg_bits, least), "seg int, bits binary")
     )

@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import gc
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,6 +23,9 @@ SPACE = r"[\x20\x09-\x0D]"
 #: Whether the shuffle files of a finished query go at once.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: How many rows go to Python at a time, and how many where they are whole texts.
+BATCH, TEXT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
 #: Folders made here, by application.
 _OWN: dict[str, str] = {}
 
@@ -43,15 +47,24 @@ def shared_root(spark: SparkSession) -> str:
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
-def tidy(run: Batches) -> Batches:
-    """``run``, giving freed memory back to the system at the end of a task: workers live on for other stages."""
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidy(run: Batches, encodes: bool = False) -> Batches:
+    """``run``, giving freed memory back to the system at the end of a task: workers live on for other stages.
+    Unless it ``encodes``, encoders that an earlier stage left in the worker, with their caches, go first."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = sys.modules.get("textsluice.llm.tokens")
+        if tokens and not encodes and tokens.encoder.cache_info().currsize:
+            tokens.encoder.cache_clear()
+            _give_back()
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        libc = ctypes.CDLL(None)
-        if hasattr(libc, "malloc_trim"):
-            libc.malloc_trim(0)
+        _give_back()
 
     return wrapped
 
@@ -70,15 +83,19 @@ class Scratch:
         self.path = f"{shared_root(spark)}/textsluice/{name}-{uuid.uuid4().hex}"
         atexit.register(self._remove, self.path)
 
-    def save(self, df: DataFrame, table: str) -> DataFrame:
+    def save(self, df: DataFrame, table: str, texts: bool = False) -> DataFrame:
+        """``texts``: whole texts go to Python, so fewer rows at a time."""
         path, conf = f"{self.path}/{table}", self.spark.conf
         self.tables.add(table)
-        before = conf.get(CLEANUP, "false")
+        before = {CLEANUP: conf.get(CLEANUP, "false"), BATCH: conf.get(BATCH)}
         conf.set(CLEANUP, "true")  # the copy replaces them
+        if texts:
+            conf.set(BATCH, min(TEXT_ROWS, int(before[BATCH])))
         try:
             df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         finally:
-            conf.set(CLEANUP, before)
+            for k, v in before.items():
+                conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def free(self) -> None:

@@ -164,6 +164,7 @@ def frequent_shingles(docs: DataFrame, text_col: str, scratch: Scratch) -> tuple
         .groupBy("bucket")
         .applyInArrow(_frequent, "print long, df long"),
         "frequent",
+        texts=True,
     )
     total, least = found.count(), ORDER_FROM
     if total > FREQUENT:
@@ -506,7 +507,7 @@ def _links(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, percent: int, sc
     owners = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("node", "a"), "a")
     both = owners.select("a", "part", F.lit(0).alias("role"), F.col("a").alias("b"), "text").unionByName(partners)
     links = scratch.save(
-        both.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(tidy(_verify(percent)), "a long, b long"), f"{name}-links"
+        both.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(tidy(_verify(percent)), "a long, b long"), f"{name}-links", texts=True
     )
     scratch.drop(*(f"{name}-{x}" for x in ("left", "pairs", "wanted", "texts")))
     scratch.free()
@@ -527,7 +528,7 @@ def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     scratch.drop("frequent")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("print"))
     spine = scratch.save(
-        rows.mapInArrow(tidy(_spine(held, percent)), "doc_id long, print long, rid long, n int, hi long, lo long, sigs binary, map binary"), "spine"
+        rows.mapInArrow(tidy(_spine(held, percent)), "doc_id long, print long, rid long, n int, hi long, lo long, sigs binary, map binary"), "spine", texts=True
     )
     held.destroy()
     scratch.free()

@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textsluice.llm.common import tidy
 from textsluice.llm.tokens import chunks
 
 HALF = 4096
@@ -135,7 +136,7 @@ def fit(
     dice = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1_000_003)) / 1_000_003
     chosen = rows.filter(dice < rate[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     found = sorted(
-        (r.lang, bytes(r.at), bytes(r.value)) for r in chosen.mapInArrow(_vectors, "lang string, at binary, value binary").collect()
+        (r.lang, bytes(r.at), bytes(r.value)) for r in chosen.mapInArrow(tidy(_vectors), "lang string, at binary, value binary").collect()
     )
     x = np.zeros((len(found), DIM), np.float32)
     for i, (_, at, value) in enumerate(found):

@@ -162,7 +162,7 @@ def pack(
     scratch = Scratch(spark, "pack")
     tokens = scratch.save(
         docs.select(F.col(id_col).cast("long"), F.col(source_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(
-            tidy(_encode(tokenizer or default_tokenizer(), cache_words, chunk_bytes)), "doc_id long, source string, part int, ahead long, n long, ids binary"
+            tidy(_encode(tokenizer or default_tokenizer(), cache_words, chunk_bytes), encodes=True), "doc_id long, source string, part int, ahead long, n long, ids binary"
         ),
         "tokens",
     )
