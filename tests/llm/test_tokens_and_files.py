@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from textsluice.llm import bitplane, common
 from textsluice.llm.bitplane import PlaneReader, PlaneWriter, from_planes, round_trip, to_planes
 from textsluice.llm.packing import Schedule, pack
 from textsluice.llm.tokens import WordEncoder, chunks, default_tokenizer
@@ -66,6 +67,29 @@ def test_round_trip(spark):
     assert round_trip(docs(spark, [])).count() == 0
 
 
+def test_round_trip_holds_few_texts_gives_memory_back_and_makes_one_index_file(spark, monkeypatch):
+    tidied = []
+    monkeypatch.setattr(bitplane, "tidy", lambda run, encodes=False: tidied.append(encodes) or common.tidy(run, encodes), raising=False)
+    forty = docs(spark, [(i, "some words", None, None, None) for i in range(40)])
+    assert round_trip(forty).count() == 40
+    assert tidied == [True, False]
+
+    def sizes(folder, tokenizer, kind):
+        def write(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"part": pa.array([0], pa.int32()), "path": [""], "docs": [b.num_rows], "ids": [0], "bytes": [0]})
+
+        return write
+
+    monkeypatch.setattr(bitplane, "_write", sizes)
+    monkeypatch.setattr(bitplane, "read_ids", lambda index, folder: index)
+    monkeypatch.setattr(common, "TEXT_ROWS", 3)
+    index = round_trip(forty)
+    n = [r.docs for r in index.collect()]
+    assert sum(n) == 40 and max(n) <= 3
+    assert len(index.inputFiles()) == 1
+
+
 def test_schedule_is_gapless_and_keeps_to_the_targets():
     s = Schedule([10_000, 5_000, 50], [2.0, 1.0, 0.0], 1024)
     spans = sorted((at, b - a, k) for k, n in enumerate([10_000, 5_000, 50]) for a, b, at in s.spans(k, 0, n))

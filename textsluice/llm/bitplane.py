@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textsluice.llm.common import Scratch
+from textsluice.llm.common import Scratch, tidy
 from textsluice.llm.tokens import chunks, default_tokenizer, encoder
 
 MAGIC = b"TSBP0001"
@@ -185,7 +185,7 @@ def write_ids(
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
         .repartitionByRange("id")
         .sortWithinPartitions("id", "text")
-        .mapInArrow(_write(folder, tokenizer or default_tokenizer(), kind), INDEX)
+        .mapInArrow(tidy(_write(folder, tokenizer or default_tokenizer(), kind), encodes=True), INDEX)
     )
 
 
@@ -220,7 +220,7 @@ def read_ids(index: DataFrame, folder: str) -> DataFrame:
     files = index.select("part", "path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return files.repartition(parts, "part").mapInArrow(
-        _read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long"
+        tidy(_read(folder)), "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
 
 
@@ -228,4 +228,6 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None, kind: str = "byte"
     """Writes the ids of ``docs`` to the shared folder and returns what the files hold."""
     scratch = Scratch(docs.sparkSession, "ids")
     folder = f"{scratch.path}/files"
-    return read_ids(scratch.save(write_ids(docs, folder, tokenizer, kind), "index"), folder)
+    # one file of the index, not one for every row: each that is made starts processes beside the executor
+    index = scratch.save(write_ids(docs, folder, tokenizer, kind).repartition(1), "index", texts=True)
+    return read_ids(index, folder)
